@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES = {
     "op8_quality_rules": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
 }
