@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .simhash import op2_simhash_near_dedup
 from .url_filter import OP9_SQL, op9_url_filter
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
     "op8_quality_rules": OP8_SQL,
