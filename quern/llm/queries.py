@@ -5,11 +5,13 @@ from __future__ import annotations
 from .packing import op6_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .repeats import op5_suffix_array_dedup
 from .simhash import op2_simhash_near_dedup
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
