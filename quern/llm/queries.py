@@ -8,8 +8,10 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .repeats import op5_suffix_array_dedup
 from .simhash import op2_simhash_near_dedup
 from .url_filter import OP9_SQL, op9_url_filter
+from .warc import OP1_SQL, op1_warc_writer
 
 QUERIES = {
+    "op1_warc_writer": op1_warc_writer,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
+    "op1_warc_writer": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
