@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op7_mixing
 from .packing import op6_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
