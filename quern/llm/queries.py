@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licences import OP3_SQL, op3_licence_scan
 from .mixing import op7_mixing
 from .packing import op6_packing
 from .quality_classifier import op10_quality_classifier
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1_warc_writer
 QUERIES = {
     "op1_warc_writer": op1_warc_writer,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_licence_scan": op3_licence_scan,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc_writer": OP1_SQL,
+    "op3_licence_scan": OP3_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
