@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .image_copies import op4_image_copies
 from .licences import OP3_SQL, op3_licence_scan
 from .mixing import op7_mixing
 from .packing import op6_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_warc_writer": op1_warc_writer,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_licence_scan": op3_licence_scan,
+    "op4_image_copies": op4_image_copies,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,

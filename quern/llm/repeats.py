@@ -283,9 +283,9 @@ def _spans(start: np.ndarray, n: np.ndarray, length: int, size: int) -> np.ndarr
     return np.stack([low[at], high[np.append(at[1:], len(low)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` the remaining ``kept_text``
-    (characters cut in two are dropped from it)."""
+    (characters cut in two are dropped from it) and the columns ``keep``."""
     at = stash(
         repeated_intervals(docs, length, id_col, text_col)
         .groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("windows")), "intervals"
@@ -314,12 +314,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if texts:
                 out, names = [*out, pa.array(kept_texts, pa.string())], [*names, "kept_text"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            yield pa.RecordBatch.from_arrays([*out, *b.columns[3:]], names=[*names, *b.schema.names[3:]])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"))
-    joined = rows.join(at, "doc", "left").select("id", "t", "windows")
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
+        *[F.col(c).alias(f"_{c}") for c in keep],
+    )
+    joined = rows.join(at, "doc", "left").select("id", "t", "windows", *[f"_{c}" for c in keep])
     schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema += "".join(f", `{c}` {t}" for c, t in joined.drop("id", "t", "windows").dtypes)
+    return joined.mapInArrow(run, schema).withColumnsRenamed({"id": id_col} | {f"_{c}": c for c in keep})
 
 
 def op5_suffix_array_dedup(spark, sf_dir):
