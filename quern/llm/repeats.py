@@ -40,8 +40,9 @@ from .suffix_array import common_prefixes, suffix_array, words8
 
 LENGTH = 100
 ANCHOR = 37  # leaves 64 places for it in a window
-CHUNK = 2 << 20
-FLUSH = 24 << 20
+CHUNK = 1 << 18
+FLUSH = 8 << 20
+SORTED = 1 << 20  # bytes that are sorted at once; an anchor's stretches are never parted
 NO_ID = -(2**63)
 
 STRETCH = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("repeat", "u1")])
@@ -230,6 +231,24 @@ def repeated_windows(rows: np.ndarray, data: bytes, length: int = LENGTH) -> tup
     return doc[again], start[again]
 
 
+def _by_anchor(rows: np.ndarray, data: bytes):
+    """(rows, bytes) of whole anchors, about ``SORTED`` bytes at a time: only rows of one anchor can agree."""
+    size = rows["size"].astype(np.int64)
+    end = np.cumsum(size)
+    order = np.argsort(rows["anchor"], kind="stable")
+    total = np.cumsum(size[order])
+    new = np.nonzero(np.diff(rows["anchor"][order]))[0] + 1
+    edges, held = [0], 0
+    for at in new:
+        if total[at - 1] - held >= SORTED:
+            edges.append(at)
+            held = total[at - 1]
+    edges.append(len(order))
+    for low, high in zip(edges, edges[1:]):
+        part = order[low:high]
+        yield rows[part], b"".join([data[e - n : e] for e, n in zip(end[part].tolist(), size[part].tolist())])
+
+
 def _compare(length: int):
     def run(batches):
         heads, data = [], []
@@ -238,18 +257,19 @@ def _compare(length: int):
             data += b.column(2).to_pylist()
         if not heads:
             return
-        doc, start = repeated_windows(np.frombuffer(b"".join(heads), dtype=WANTED), b"".join(data), length)
-        by = np.lexsort((start, doc))
-        doc, start = doc[by], start[by]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
-        at = np.nonzero(new)[0]
-        last = np.append(at[1:], len(doc)) - 1
-        if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[at]), pa.array(start[at]), pa.array((start[last] - start[at] + 1).astype(np.int32)), pa.nulls(len(at), pa.int64())],
-                names=["doc", "start", "n", "anchor"],
-            )
+        for rows, text in _by_anchor(np.frombuffer(b"".join(heads), dtype=WANTED), b"".join(data)):
+            doc, start = repeated_windows(rows, text, length)
+            by = np.lexsort((start, doc))
+            doc, start = doc[by], start[by]
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+            at = np.nonzero(new)[0]
+            last = np.append(at[1:], len(doc)) - 1
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[at]), pa.array(start[at]), pa.array((start[last] - start[at] + 1).astype(np.int32)), pa.nulls(len(at), pa.int64())],
+                    names=["doc", "start", "n", "anchor"],
+                )
 
     return run
 
