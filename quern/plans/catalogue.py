@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus  # noqa: F401
+from . import corpus, training  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
