@@ -31,56 +31,51 @@ from .common import stash, table
 
 WINDOW = 2048
 END_ID = 1
-_CACHE_WORDS = 400_000
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: printable ones are themselves,
+    the others follow from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+#: Scripts whose character classes no Unicode version has moved; other texts are left to the slower library.
+_SETTLED = "\x00-\x1b\x20-\x7e\xa0-\u024f\u0370-\u03ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+    """Token ids of whole texts as little-endian 32-bit bytes, by the tokenizer file at ``path``.
 
-    The byte-level pre-tokeniser never joins what lies on both sides of a single
-    space between two non-blanks, save that the space opens the next piece; so a
-    text is cut there, and what a cut gave is remembered.
+    The file's vocabulary and merge order are handed to a faster implementation of
+    the same byte-level encoding.  Texts that hold one of the file's added tokens or
+    characters beyond the settled scripts go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
+        import json
+        import re
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        known = self.known
-        missing = {p for pieces in cut for p in pieces if p not in known}
-        if len(known) + len(missing) > _CACHE_WORDS:
-            known.clear()
-            missing = {p for pieces in cut for p in pieces}
-        order = list(missing)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            known.update(zip(part, self._encode(part), strict=True))
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if held and p and not held[-1].isspace() and not p[0].isspace():
-                out.append(held)
-                held = " " + p
-            else:
-                held += " " + p
-        out.append(held)
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"] for t in spec["added_tokens"]}
+        letters = _byte_of()
+        ranks = {bytes(letters[c] for c in t): k for t, k in spec["model"]["vocab"].items() if t not in added}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.slow = re.compile("|".join([f"[^{_SETTLED}]", *map(re.escape, sorted(added))]))
+
+    def __call__(self, text: str) -> bytes:
+        if self.slow.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,8 +92,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
                 rows, starts, lengths, sums, totals = [], [], [], [], []
-                for k, ids in enumerate(encoder.batch([t or "" for t in b.column(1).to_pylist()])):
-                    ids += tail
+                for k, text in enumerate(b.column(1)):
+                    ids = encoder(text.as_py() or "") + tail
                     n = len(ids) // 4
                     for s in range(0, n, window):
                         piece = ids[4 * s : 4 * (s + window)]
