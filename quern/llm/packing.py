@@ -151,30 +151,24 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                per = window // length  # windows opened now take as many of this length as they hold
-                full, rest = divmod(left, per)
-                for n, filled in ((full, per), (1 if rest else 0, rest)):
-                    if n:
-                        for k in range(filled):
-                            out.append((length, rank, rank + n, used, k * length))
-                            rank += n
-                        room = window - filled * length
-                        open_.setdefault(room, []).append((used, n))
-                        tree.add(room, n)
-                        used += n
-                left = 0
-                continue
-            first, n = open_[capacity].pop()
-            taken = min(n, left)
-            if taken < n:
-                open_[capacity].append((first + taken, n - taken))
-            tree.add(capacity, -taken)
-            out.append((length, rank, rank + taken, first, window - capacity))
-            room = capacity - length
-            open_.setdefault(room, []).append((first, taken))
-            tree.add(room, taken)
-            rank += taken
-            left -= taken
+                capacity, first, n = window, used, -(-left // (window // length))
+                used += n
+            else:
+                first, n = open_[capacity].pop()
+                tree.add(capacity, -n)
+            # A window that got one of this length is now the tightest: it is filled before the next.
+            per = capacity // length
+            full = min(n, left // per)
+            rest = left - full * per if full < n else 0
+            for windows, filled in ((full, per), (1 if rest else 0, rest), (n - full - (1 if rest else 0), 0)):
+                if windows:
+                    for k in range(filled):
+                        out.append((length, rank, rank + windows, first, window - capacity + k * length))
+                        rank += windows
+                    left -= windows * filled
+                    open_.setdefault(capacity - filled * length, []).append((first, windows))
+                    tree.add(capacity - filled * length, windows)
+                    first += windows
     return out
 
 
