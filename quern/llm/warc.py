@@ -33,10 +33,12 @@ from .common import shared_dir, stash, table
 DICT_MAGIC = 0x184D2A5D
 MIN_REVISIT = 1000
 SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 16 << 10
+SAMPLE_BYTES = 8 << 10
 DICT_BYTES = 112_640
 FILE_BYTES = 64 << 20
 MAX_IN_FILE = 1 << 20
+BUFFER = 1 << 20
+SLICE = 1 << 12
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -47,9 +49,9 @@ def _open(path: str, mode: str):
         path = "file:///" + path.removeprefix("file:").lstrip("/")
     where, name = fs.FileSystem.from_uri(path)
     if mode == "rb":
-        return where.open_input_stream(name)
+        return where.open_input_stream(name, compression=None)
     where.create_dir(name.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(name)
+    return where.open_output_stream(name, compression=None)
 
 
 def build_dictionary(payloads: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -143,20 +145,25 @@ def _frames(stream):
         raise ValueError("the archive does not start with a dictionary frame")
     dictionary = stream.read(size)
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    data = b""
+    data, at = b"", 0
     while True:
-        more = stream.read(1 << 20) if not data else data
-        if not more:
-            return
+        if at == len(data):
+            data, at = stream.read(BUFFER), 0
+            if not data:
+                return
         parts, one = [], opener.decompressobj()
-        while more:
-            parts.append(one.decompress(more))
+        while True:
+            # A frame is fed in slices, so that what is left over after it stays small.
+            piece = data[at : at + SLICE]
+            parts.append(one.decompress(piece))
+            at += len(piece)
             if one.eof:
+                at -= len(one.unused_data)
                 break
-            more = stream.read(1 << 20)
-        if not one.eof:
-            raise ValueError("the archive ends within a record")
-        data = one.unused_data
+            if at == len(data):
+                data, at = stream.read(BUFFER), 0
+                if not data:
+                    raise ValueError("the archive ends within a record")
         yield b"".join(parts)
 
 
@@ -188,6 +195,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def _sampled(rows: DataFrame) -> list[bytes]:
+    """At most ``SAMPLE_ROWS`` payloads, those with the smallest hash of digest and id, each up to ``SAMPLE_BYTES``.
+
+    The hashes are chosen first: only they are gathered from every task.
+    """
+    hashed = rows.where("size > 0").withColumn("h", F.xxhash64("digest", "id"))
+    top = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    if top is None:
+        return []
+    chosen = hashed.where(F.col("h") <= F.lit(top)).select("h", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE_ROWS)
+    return [bytes(r["p"]) for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["p"]))]
+
+
 def archive(
     pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     min_revisit: int = MIN_REVISIT,
@@ -211,8 +231,7 @@ def archive(
     out = keyed.select(
         "id", "url", "payload", "digest", "size", revisit.alias("revisit"), F.col("kept").alias("refers_to"),
     )
-    sample = rows.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), "digest", "id").orderBy(F.xxhash64("digest", "id"), "id").limit(SAMPLE_ROWS)
-    dictionary = build_dictionary([bytes(r["p"]) for r in sample.select("p").collect() if len(r["p"])])
+    dictionary = build_dictionary(_sampled(rows))
     return stash(write_archives(out, dictionary, folder), "manifest")
 
 
