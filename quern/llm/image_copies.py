@@ -147,31 +147,39 @@ def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, vote
     # One image per digest stands for its copies; the digest's own hash names it where ids are missing.
     distinct = stash(described.groupBy("digest").agg(F.min("id").alias("low"), F.min(F.struct("id", F.size("points").alias("n")))["n"].alias("n_points")), "distinct-images")
     chosen = distinct.where("low is not null").select(F.col("low").alias("id"), "digest")
+    # Dealt by id alone, so that the join and the choice of one row share an exchange.
+    kept = described.join(chosen.withColumnRenamed("digest", "same"), "id").where("digest = same").dropDuplicates(["id"])
+    # One long carries a corner's number and geometry through all later exchanges.
+    packed = F.expr(
+        "shiftleft(cast(q.y + 32768 as bigint), 48) | shiftleft(cast(q.x + 32768 as bigint), 32) | "
+        "shiftleft(cast(q.turn as bigint), 24) | shiftleft(cast(q.scale as bigint), 20) | kp"
+    )
     points = (
-        described.join(chosen, ["id", "digest"])
-        .dropDuplicates(["id"])
-        .select("id", F.posexplode("points").alias("kp", "q"))
-        .select("id", "kp", "q.y", "q.x", "q.turn", "q.scale", F.posexplode(F.array("q.k0", "q.k1", "q.k2", "q.k3")).alias("t", "key"))
+        kept.select("id", F.posexplode("points").alias("kp", "q"))
+        .select("id", packed.alias("g"), F.posexplode(F.array("q.k0", "q.k1", "q.k2", "q.k3")).alias("t", "key"))
     )
-    own = F.struct("id", "kp", "y", "x", "turn", "scale").alias("own")
-    bucket = Window.partitionBy("t", "key").orderBy("id", "kp")
-    met = points.select("t", "key", "id", "kp", own).select("own", F.array(*[F.lag("own", r).over(bucket) for r in range(1, reach + 1)]).alias("before"))
+    bucket = Window.partitionBy("t", "key").orderBy("id", "g")
+    before = [F.struct(F.lag("id", r).over(bucket).alias("a"), F.lag("g", r).over(bucket).alias("ga")) for r in range(1, reach + 1)]
+    met = points.select("id", "g", F.array(*before).alias("before")).where("before[0].a is not null")
     pairs = (
-        met.where("before[0] is not null")
-        .select("own", F.explode("before").alias("other"))
-        .where("other is not null and other.id < own.id")
-        .select(F.col("other.id").alias("a"), F.col("own.id").alias("b"), F.col("other.kp").alias("i"), F.col("own.kp").alias("j"), "own", "other")
-        .dropDuplicates(["a", "b", "i", "j"])
+        met.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.explode("before").alias("o"))
+        .where("o.a < b")
+        .select(F.col("o.a").alias("a"), "b", F.col("o.ga").alias("ga"), "gb")
+        .distinct()
     )
-    theta = F.pmod(F.col("own.turn") - F.col("other.turn"), F.lit(TURNS))
-    factor = F.pow(F.lit(2.0), F.col("own.scale") - F.col("other.scale"))
+    field = lambda c, shift, mask: F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit(mask))
+    place = lambda c: (field(c, 48, 0xFFFF) - 32768, field(c, 32, 0xFFFF) - 32768)
+    (ya, xa), (yb, xb) = place("ga"), place("gb")
+    grown = field("gb", 20, 0xF) - field("ga", 20, 0xF)
+    theta = F.pmod(field("gb", 24, 0xFF) - field("ga", 24, 0xFF), F.lit(TURNS))
+    factor = F.pow(F.lit(2.0), grown)
     angle = theta * (2 * math.pi / TURNS)
-    dx = F.col("own.x") - factor * (F.cos(angle) * F.col("other.x") - F.sin(angle) * F.col("other.y"))
-    dy = F.col("own.y") - factor * (F.sin(angle) * F.col("other.x") + F.cos(angle) * F.col("other.y"))
+    dx = xb - factor * (F.cos(angle) * xa - F.sin(angle) * ya)
+    dy = yb - factor * (F.sin(angle) * xa + F.cos(angle) * ya)
     # Two grids, half a cell apart, per dimension: what agrees shares a cell in one of them.
     halves = F.array(F.lit(0.0), F.lit(0.5))
     voted = (
-        pairs.select("a", "b", "i", theta.alias("theta"), (F.col("own.scale") - F.col("other.scale")).alias("s"), dx.alias("dx"), dy.alias("dy"))
+        pairs.select("a", "b", field("ga", 0, 0xFFFFF).alias("i"), theta.alias("theta"), grown.alias("s"), dx.alias("dx"), dy.alias("dy"))
         .withColumn("g", F.explode(F.flatten(F.transform(halves, lambda p: F.transform(halves, lambda q: F.struct(p.alias("p"), q.alias("q")))))))
         .groupBy("a", "b", "s", F.floor(F.col("dx") / CELL + F.col("g.p")).alias("cx"), F.floor(F.col("dy") / CELL + F.col("g.q")).alias("cy"), "g")
         .agg(F.count_distinct("i").alias("n"), F.max("theta").alias("high"), F.min("theta").alias("low"))
