@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from .views import sources_of
 
 SCHEMAS = {
-    "manifest": "id int, dsmap_bits int, modalities string",
-    "sources": "ds_map_id int, name string, data_type string, document_number long, modality string, data_key string, errors_counters string, finalized_at string",
-    "source_stats": "submdat_id int, database_id int, raw_data_bytes long, is_data boolean, is_meta boolean, is_extra boolean",
+    "manifest": "id int, id_bits int, modalities string",
+    "sources": "source_no int, name string, data_type string, document_number long, modality string, data_key string, errors_counters string, finalized_at string",
+    "source_stats": "source_ref int, database_id int, raw_data_bytes long, is_data boolean, is_meta boolean, is_extra boolean",
     "strategies": "strategy_name string, tokenizer_type string, tokenizer_name string, bos_id int, eos_id int, mask_id int, splitter_class string, chunk_size int, vocab_size int, modality string",
-    "strategy_stats": "strategy_name string, submdat_id int, total_tokens long, max_tokens int, total_chunks long, max_chunks int, processed_docs long",
-    "lengths": "strategy_name string, submdat_id int, multiplier int, precomputed_length long",
-    "view_lengths": "strategy_name string, view_name string, submdat_id int, multiplier int, length long",
+    "strategy_stats": "strategy_name string, source_ref int, total_tokens long, max_tokens int, total_chunks long, max_chunks int, processed_docs long",
+    "lengths": "strategy_name string, source_ref int, multiplier int, precomputed_length long",
+    "view_lengths": "strategy_name string, view_name string, source_ref int, multiplier int, length long",
     "views": "view_name string, shuffle_struct_format string",
-    "view_sources": "view_name string, submdat_id int, is_skipped boolean, is_preserved boolean, is_partial boolean, document_number long, bytes_criteria long",
+    "view_sources": "view_name string, source_ref int, is_skipped boolean, is_preserved boolean, is_partial boolean, document_number long, bytes_criteria long",
     "shard_lengths": "strategy_name string, view_name string, num_workers int, worker_id int, multiplier int, chunk_count long",
 }
 STRATEGY_KEYS = ("strategy_name", "tokenizer_type", "splitter_class", "chunk_size", "modality")
@@ -55,7 +55,7 @@ def create(spark) -> dict[str, DataFrame]:
 
 
 def sources(docs: DataFrame) -> DataFrame:
-    return sources_of(docs).select(F.col("source_id").alias("ds_map_id"), F.col("source").alias("name"), F.col("n").alias("document_number"))
+    return sources_of(docs).select(F.col("source_id").alias("source_no"), F.col("source").alias("name"), F.col("n").alias("document_number"))
 
 
 def build(docs: DataFrame) -> Catalog:
@@ -64,37 +64,37 @@ def build(docs: DataFrame) -> Catalog:
     )
     s = sources(docs).join(sized, "name")
     kinds = F.array(
-        F.struct((2 * F.col("ds_map_id") - 1).alias("database_id"), F.lit("data").alias("type"), F.col("data_bytes").alias("raw_data_bytes")),
-        F.struct((2 * F.col("ds_map_id")).alias("database_id"), F.lit("meta").alias("type"), F.col("meta_bytes").alias("raw_data_bytes")),
+        F.struct((2 * F.col("source_no") - 1).alias("database_id"), F.lit("data").alias("type"), F.col("data_bytes").alias("raw_data_bytes")),
+        F.struct((2 * F.col("source_no")).alias("database_id"), F.lit("meta").alias("type"), F.col("meta_bytes").alias("raw_data_bytes")),
     )
-    d = s.select(F.col("ds_map_id").alias("submdat_id"), F.explode(kinds).alias("k")).select("submdat_id", "k.*")
-    links = d.select("submdat_id", "database_id", "raw_data_bytes", (F.col("type") == "data").alias("is_data"), (F.col("type") == "meta").alias("is_meta"))
+    d = s.select(F.col("source_no").alias("source_ref"), F.explode(kinds).alias("k")).select("source_ref", "k.*")
+    links = d.select("source_ref", "database_id", "raw_data_bytes", (F.col("type") == "data").alias("is_data"), (F.col("type") == "meta").alias("is_meta"))
     return Catalog(s, d.select("database_id", "type"), links)
 
 
-def submdat_databases(c: Catalog) -> DataFrame:
-    return c.links.join(c.databases, "database_id").select("submdat_id", "database_id", "type", "raw_data_bytes", "is_data", "is_meta")
+def source_databases(c: Catalog) -> DataFrame:
+    return c.links.join(c.databases, "database_id").select("source_ref", "database_id", "type", "raw_data_bytes", "is_data", "is_meta")
 
 
-def submdat_info(c: Catalog) -> DataFrame:
+def source_info(c: Catalog) -> DataFrame:
     """Sources with their data database; the filter on the right side makes the left join an inner one."""
     return (
-        c.sources.join(c.links, c.sources.ds_map_id == c.links.submdat_id, "left").where("is_data")
-        .select("ds_map_id", "name", "document_number", "raw_data_bytes")
+        c.sources.join(c.links, c.sources.source_no == c.links.source_ref, "left").where("is_data")
+        .select("source_no", "name", "document_number", "raw_data_bytes")
     )
 
 
 def strategy_databases(c: Catalog, strategy: str = "bytes") -> DataFrame:
     kinds = F.explode(F.array(F.lit("tokens"), F.lit("chunks"))).alias("kind")
-    own = c.links.where("is_data").select(F.lit(strategy).alias("strategy_name"), "submdat_id", "database_id", kinds)
-    return own.join(c.databases, "database_id").select("strategy_name", "submdat_id", "database_id", "kind", "type")
+    own = c.links.where("is_data").select(F.lit(strategy).alias("strategy_name"), "source_ref", "database_id", kinds)
+    return own.join(c.databases, "database_id").select("strategy_name", "source_ref", "database_id", "kind", "type")
 
 
 def thirds_view(c: Catalog) -> DataFrame:
     """A view that skips, preserves and cuts sources in turn."""
-    turn = F.col("ds_map_id") % 3
+    turn = F.col("source_no") % 3
     return c.sources.select(
-        F.lit("thirds").alias("view_name"), F.col("ds_map_id").alias("submdat_id"), (turn == 0).alias("is_skipped"), (turn == 1).alias("is_preserved"),
+        F.lit("thirds").alias("view_name"), F.col("source_no").alias("source_ref"), (turn == 0).alias("is_skipped"), (turn == 1).alias("is_preserved"),
         (turn == 2).alias("is_partial"), "document_number", F.when(turn != 2, F.col("data_bytes")).alias("bytes_criteria"),
     )
 
@@ -120,7 +120,7 @@ def view_totals(view_sources: DataFrame) -> DataFrame:
 
 
 def ask_view(view_sources: DataFrame, view: str, flag: str) -> DataFrame:
-    return view_sources.where((F.col("view_name") == view) & F.col(flag)).select("submdat_id")
+    return view_sources.where((F.col("view_name") == view) & F.col(flag)).select("source_ref")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

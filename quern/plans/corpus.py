@@ -138,33 +138,33 @@ def head_view(spark, sf_dir):
     return views.head_sources(views.head(v, 40, v.count()), sources, 40)
 
 
-@query("select (row_number() over (order by source))::int ds_map_id, source as name, count(*) document_number from documents group by source")
+@query("select (row_number() over (order by source))::int source_no, source as name, count(*) document_number from documents group by source")
 def sources_catalog(spark, sf_dir):
     return catalog.sources(table(spark, sf_dir, "documents"))
 
 
 CATALOG_SQL = """
-s as (select (row_number() over (order by source))::int ds_map_id, source as name, count(*) document_number,
+s as (select (row_number() over (order by source))::int source_no, source as name, count(*) document_number,
   sum(octet_length(encode(text)))::bigint data_bytes, sum(octet_length(encode(lang)))::bigint meta_bytes from documents group by source),
 db as (
-  select 2 * ds_map_id - 1 database_id, ds_map_id submdat_id, data_bytes raw_data_bytes, true is_data, false is_meta, 'data' as type from s
-  union all select 2 * ds_map_id, ds_map_id, meta_bytes, false, true, 'meta' from s)"""
+  select 2 * source_no - 1 database_id, source_no source_ref, data_bytes raw_data_bytes, true is_data, false is_meta, 'data' as type from s
+  union all select 2 * source_no, source_no, meta_bytes, false, true, 'meta' from s)"""
 
 
-@query(f"with {CATALOG_SQL} select submdat_id, database_id, type, raw_data_bytes, is_data, is_meta from db")
-def submdat_databases_join(spark, sf_dir):
+@query(f"with {CATALOG_SQL} select source_ref, database_id, type, raw_data_bytes, is_data, is_meta from db")
+def source_databases_join(spark, sf_dir):
     c = catalog.build(table(spark, sf_dir, "documents"))
-    return catalog.submdat_databases(c)
+    return catalog.source_databases(c)
 
 
-@query(f"with {CATALOG_SQL} select ds_map_id, name, document_number, raw_data_bytes from s left join db on ds_map_id = submdat_id where is_data")
-def submdat_info_join(spark, sf_dir):
-    return catalog.submdat_info(catalog.build(table(spark, sf_dir, "documents")))
+@query(f"with {CATALOG_SQL} select source_no, name, document_number, raw_data_bytes from s left join db on source_no = source_ref where is_data")
+def source_info_join(spark, sf_dir):
+    return catalog.source_info(catalog.build(table(spark, sf_dir, "documents")))
 
 
 @query(f"""
-with {CATALOG_SQL}, v as (select *, case when ds_map_id % 3 = 0 then 'skipped' when ds_map_id % 3 = 1 then 'preserved' else 'partial' end flag,
-  case when ds_map_id % 3 = 2 then null else data_bytes end bytes_criteria from s)
+with {CATALOG_SQL}, v as (select *, case when source_no % 3 = 0 then 'skipped' when source_no % 3 = 1 then 'preserved' else 'partial' end flag,
+  case when source_no % 3 = 2 then null else data_bytes end bytes_criteria from s)
 select 'active' as criterion, sum(coalesce(document_number, 0))::bigint documents, sum(coalesce(bytes_criteria, 0))::bigint bytes from v where flag <> 'skipped'
 union all select 'preserved', sum(coalesce(document_number, 0))::bigint, sum(coalesce(bytes_criteria, 0))::bigint from v where flag = 'preserved'
 union all select 'all', sum(coalesce(document_number, 0))::bigint, sum(coalesce(bytes_criteria, 0))::bigint from v
@@ -176,8 +176,8 @@ def view_totals(spark, sf_dir):
 
 @query(f"""
 with {CATALOG_SQL}
-select strategy_name, ds_map_id submdat_id, 2 * ds_map_id - 1 database_id, kind, type
-from db join s on submdat_id = ds_map_id, (values ('bytes', 'tokens'), ('bytes', 'chunks')) k(strategy_name, kind) where is_data
+select strategy_name, source_no source_ref, 2 * source_no - 1 database_id, kind, type
+from db join s on source_ref = source_no, (values ('bytes', 'tokens'), ('bytes', 'chunks')) k(strategy_name, kind) where is_data
 """)
 def strategy_db_join(spark, sf_dir):
     return catalog.strategy_databases(catalog.build(table(spark, sf_dir, "documents")))
