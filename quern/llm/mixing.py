@@ -35,7 +35,7 @@ from .ngrams import features, words
 from .quality_classifier import unique_features
 
 BITS = 16
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
 MAX_DOMAINS = 256
 ROUNDS = 25
 RIDGE = 0.02
@@ -80,7 +80,7 @@ def train_posterior(labelled: DataFrame, label_col: str, id_col: str, text_col:
         picked.where(F.col("h") <= F.lit(chosen)).select("y", "t")
         .mapInArrow(run, "y string, at array<int>, x array<float>").limit(max_train).toArrow()
     )
-    rows = [(names.index(y.as_py()), a.values.to_numpy().astype(np.int64), x.values.to_numpy()) for y, a, x in zip(*got.columns, strict=True)]
+    rows = [(names.index(y.as_py()), a.values.to_numpy(), x.values.to_numpy()) for y, a, x in zip(*got.columns, strict=True)]
     rows.sort(key=lambda r: (r[0], len(r[1]), float(r[2].sum()), int(r[1].sum())))
     weights = np.zeros((len(names), (1 << BITS) + 1))
     squares = np.full_like(weights, 1e-2)

@@ -118,7 +118,7 @@ def fit(
     sample = texts.join(F.broadcast(picked), "id").select("y", "t")  # max_train rows of two numbers
     got = _features_of(sample, bits).toArrow()
     rows = [
-        (a.values.to_numpy().astype(np.int64), x.values.to_numpy(), y.as_py()) for y, a, x in zip(*got.columns, strict=True)
+        (a.values.to_numpy(), x.values.to_numpy(), y.as_py()) for y, a, x in zip(*got.columns, strict=True)  # views of the table
     ]
     rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), int(r[0].sum())))  # the order of tasks does not matter
     return train(rows, bits)
