@@ -46,7 +46,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", 1.5, 15.0),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.2),
     Rule("stop_word_ratio", "n_stop_words / n_words", 0.01, None),
-    Rule("duplicate_line_ratio", "n_dup_lines / greatest(n_lines, 1)", None, 0.3),
+    Rule("duplicate_line_ratio", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
     Rule("bullet_line_ratio", "n_bullet_lines / greatest(n_lines, 1)", None, 0.9),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines / greatest(n_lines, 1)", None, 0.3),
 )
