@@ -39,6 +39,8 @@ TURNS = 32
 BITS = 256
 REACH = 8
 VOTES = 5
+if sum(POINTS) > 64:
+    raise AssertionError("a vote notes its corners in 64 bits")
 CELL = 16.0
 
 _rng = np.random.default_rng(256)
@@ -165,6 +167,7 @@ def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, vote
         met.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.explode("before").alias("o"))
         .where("o.a < b")
         .select(F.col("o.a").alias("a"), "b", F.col("o.ga").alias("ga"), "gb")
+        .repartition("a", "b")  # the only exchange of pairs: all that follows groups by these two and more
         .distinct()
     )
     field = lambda c, shift, mask: F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit(mask))
@@ -177,12 +180,13 @@ def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, vote
     dx = xb - factor * (F.cos(angle) * xa - F.sin(angle) * ya)
     dy = yb - factor * (F.sin(angle) * xa + F.cos(angle) * ya)
     # Two grids, half a cell apart, per dimension: what agrees shares a cell in one of them.
-    halves = F.array(F.lit(0.0), F.lit(0.5))
+    shift = lambda bit: F.when(F.col("grid").bitwiseAND(F.lit(bit)) > 0, 0.5).otherwise(0.0)
+    corner = F.call_function("shiftleft", F.lit(1).cast("long"), field("ga", 0, 0xFFFFF).cast("int"))  # at most 64 corners an image
     voted = (
-        pairs.select("a", "b", field("ga", 0, 0xFFFFF).alias("i"), theta.alias("theta"), grown.alias("s"), dx.alias("dx"), dy.alias("dy"))
-        .withColumn("g", F.explode(F.flatten(F.transform(halves, lambda p: F.transform(halves, lambda q: F.struct(p.alias("p"), q.alias("q")))))))
-        .groupBy("a", "b", "s", F.floor(F.col("dx") / CELL + F.col("g.p")).alias("cx"), F.floor(F.col("dy") / CELL + F.col("g.q")).alias("cy"), "g")
-        .agg(F.count_distinct("i").alias("n"), F.max("theta").alias("high"), F.min("theta").alias("low"))
+        pairs.select("a", "b", corner.alias("corner"), theta.alias("theta"), grown.alias("s"), dx.alias("dx"), dy.alias("dy"))
+        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        .groupBy("a", "b", "s", F.floor(F.col("dx") / CELL + shift(1)).alias("cx"), F.floor(F.col("dy") / CELL + shift(2)).alias("cy"), "grid")
+        .agg(F.bit_count(F.bit_or("corner")).alias("n"), F.max("theta").alias("high"), F.min("theta").alias("low"))
     )
     turn_apart = F.col("high") - F.col("low")
     links = stash(voted.where((F.col("n") >= votes) & ((turn_apart <= 2) | (turn_apart >= TURNS - 2))).select("a", "b").distinct(), "image-links")
