@@ -5,15 +5,15 @@
    maximum, the strongest ``POINTS`` of each scale.  Each gets an orientation
    (its patch's centre of brightness) and 256 brightness comparisons turned by it.
 3. Hamming tables: the 256 bits make four keys of 64 bits; two descriptors meet
-   if one key is equal.  In a bucket, sorted by image, each row meets the
-   ``reach`` rows before it: small buckets give all pairs, a common key gives a
-   chain that grows with its rows and keeps its images connected.
+   if one key is equal.  In a bucket of up to ``reach`` + 1 rows each row meets
+   those before it; a larger one is parted into blocks, and all blocks meet.
 4. Geometric consensus: each match names a turn, a scale and a shift; two images
    are linked when at least ``votes`` corners agree in one cell of those.
 5. Links join into components; each image is named by the smallest id.
 
-Scale: steps 2-4 move fixed-size rows per corner; pairs are at most ``reach`` per
-row and table.  Pixels never leave the task that reads them.
+Scale: steps 2-4 move fixed-size rows per corner; a key that many corners share
+costs the square of its rows, spread over tasks of ``BLOCK`` rows by ``BLOCK``.
+Pixels never leave the task that reads them.
 
 Defined results: a null, empty or wrongly sized image has no corners and is
 linked to nothing but equal rows; images too small for a patch likewise; repeated
@@ -37,7 +37,8 @@ POINTS = (20, 12)  # corners kept at full and at half size
 PATCH = 9
 TURNS = 32
 BITS = 256
-REACH = 8
+REACH = 8  # larger buckets than one row and those before it are parted
+BLOCK = 256  # rows of a bucket that meet as one block
 VOTES = 5
 if sum(POINTS) > 64:
     raise AssertionError("a vote notes its corners in 64 bits")
@@ -139,6 +140,37 @@ def _describe_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), points], names=["id", "digest", "points"])
 
 
+def meetings(points: DataFrame, reach: int = REACH) -> DataFrame:
+    """(a, b, ga, gb) with a < b: every two corners (id, g, t, key) of different images that share table and key."""
+    bucket = Window.partitionBy("t", "key")
+    # The rows before it are all that a row of a small bucket can meet.
+    before = [F.struct(F.lag("id", r).over(bucket.orderBy("id", "g")).alias("a"), F.lag("g", r).over(bucket.orderBy("id", "g")).alias("ga")) for r in range(1, reach + 1)]
+    counted = points.select("id", "g", "t", "key", F.array(*before).alias("before"), F.count("*").over(bucket).alias("rows"))
+    small = F.col("rows") <= reach + 1
+    shared = counted.where((F.col("rows") > 1) & (~small | F.col("before")[0]["a"].isNotNull()))
+    slim = lambda keep, c: F.when(keep, F.col(c)).alias(c)
+    known = F.filter("before", lambda o: o["a"].isNotNull())
+    met = stash(shared.select("id", "g", F.when(small, known).alias("before"), *[slim(~small, c) for c in ("t", "key", "rows")]), "shared-keys")
+    near = (
+        met.where("rows is null")
+        .select(F.col("id").alias("b"), F.col("g").alias("gb"), F.explode("before").alias("o"))
+        .where("o.a < b")
+        .select(F.col("o.a").alias("a"), "b", F.col("o.ga").alias("ga"), "gb")
+    )
+    # A frequent key is parted into blocks of images, and every two blocks are a task's work of their own.
+    parted = met.where("rows is not null").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = parted.select("t", "key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.struct("id", "g").alias("p"))
+    right = parted.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.struct("id", "g").alias("q"))
+    far = (
+        left.join(right, ["t", "key", "i", "j"])
+        .where("p.id < q.id or (p.id > q.id and i < j)")  # in one block both orders meet
+        .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
+    )
+    return near.unionByName(far)
+
+
 def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, votes: int = VOTES) -> DataFrame:
     """Per row of ``images`` (id, width, height, pixels: one grey byte each): id, component_id,
     n_links (other distinct images linked to its own) and n_points."""
@@ -160,13 +192,8 @@ def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, vote
         kept.select("id", F.posexplode("points").alias("kp", "q"))
         .select("id", packed.alias("g"), F.posexplode(F.array("q.k0", "q.k1", "q.k2", "q.k3")).alias("t", "key"))
     )
-    bucket = Window.partitionBy("t", "key").orderBy("id", "g")
-    before = [F.struct(F.lag("id", r).over(bucket).alias("a"), F.lag("g", r).over(bucket).alias("ga")) for r in range(1, reach + 1)]
-    met = points.select("id", "g", F.array(*before).alias("before")).where("before[0].a is not null")
     pairs = (
-        met.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.explode("before").alias("o"))
-        .where("o.a < b")
-        .select(F.col("o.a").alias("a"), "b", F.col("o.ga").alias("ga"), "gb")
+        meetings(points, reach)
         .repartition("a", "b")  # the only exchange of pairs: all that follows groups by these two and more
         .distinct()
     )

@@ -362,6 +362,22 @@ def test_images(spark):
     assert image_copies.copies(df.limit(0)).count() == 0
 
 
+def test_images_of_a_frequent_key(spark, monkeypatch):
+    monkeypatch.setattr(image_copies, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(g), int(t), int(k)) for g, (i, t, k) in enumerate(zip(rng.integers(0, 300, 700), rng.integers(0, 2, 700), rng.integers(0, 3, 700) ** 3))]
+    rows += [(int(i), 1000 + n, 3, int(k)) for n, (i, k) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(0, 60, 200)))]
+    got = sorted(tuple(r) for r in image_copies.meetings(spark.createDataFrame(rows, "id long, g long, t int, key long")).select("a", "b", "ga", "gb").collect())
+    assert got == sorted((p[0], q[0], p[1], q[1]) for p in rows for q in rows if p[0] < q[0] and p[2:] == q[2:])
+
+
+def test_images_with_many_copies(spark):
+    picture = image_copies.render(np.random.default_rng(8).normal(size=64)) // 2
+    rows = [(k, 96, 96, (picture + k).tobytes()) for k in range(40)]
+    got = image_copies.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 39)}
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     import corpus_pipeline
 
