@@ -18,6 +18,8 @@ gives an empty table; columns other than id and text are not looked at.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,28 +96,70 @@ TRIGGER = "licen[sc]e|permi|redistribut|warrant|liab|copyright|free software|une
 UNKNOWN = "unknown"
 _DROP = r"[^a-z0-9.+/\-]+"
 _END = r"[.!?;:]+( |$)"
+_VERSION = r"\bv\.[ \t\n\r]+([0-9])"  # 'v. 2.0' is one word
 
 TABLE = {s: key for key, known in SENTENCES.items() for s in known}
 if not all(any(t in s for t in TRIGGER.replace("licen[sc]e", "license|licence").split("|")) for s in TABLE):
     raise AssertionError("a known sentence has no trigger word")
 
+_TERMS = "it under the terms of the GNU General Public License as published by the Free Software Foundation"
+_LATER = "of the License, or (at your option) any later version."
+_HOPE = (
+    " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+    " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+_MPL_COPY = " If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    " You may obtain a copy of the License at {}://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in"
+    ' writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,'
+    " either express or implied."
+)
+#: Published notices, as printed: the cut parts some of them inside what the table above holds as one sentence.
+NOTICES = tuple(
+    (f"GPL-{v}.0-or-later", f"This program is free software{a} you can redistribute it and/or modify {_TERMS}{b} either version {v} {_LATER}{more}")
+    for v in (3, 2) for a in ":;," for b in ",;" for more in (_HOPE, "")
+) + tuple(("MPL-2.0", _MPL + more) for more in (_MPL_COPY.format("https"), _MPL_COPY.format("http"), "")) + tuple(
+    ("Apache-2.0", _APACHE.format(scheme)) for scheme in ("http", "https")
+)
+
+
+def cut(text: str) -> list[str]:
+    """Normalised sentences of a text with a trigger word, its line ends as blanks; what ``_sequence`` does."""
+    text = re.sub(_VERSION, r"v \1", text.lower().replace("://", " //"))
+    told = [re.sub(_DROP, " ", s).strip(" .") for s in re.split(r"[.!?;:]+(?:[ \t\n\r]|$)", text)]
+    return [s for s in told if re.search(TRIGGER, s)]
+
+
+def _with_notices() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
+    """The table and the rules, together with the sentences of ``NOTICES`` and a rule for each."""
+    known, rules = dict(TABLE), {}
+    for name, notice in NOTICES:
+        ids = tuple(known.setdefault(s, f"notice-{len(known) - len(TABLE)}") for s in cut(notice))
+        rules.setdefault((name, ids))
+    return known, tuple(sorted(rules, key=lambda r: -len(r[1]))) + RULES
+
+
+KNOWN, ALL_RULES = _with_notices()
+
 
 def _sequence(text: Column, by_line: bool) -> Column:
     """Identifiers of the licence sentences of a lower-cased text, in order, as ',a,b,'."""
     if by_line:
         text = F.regexp_replace(text, r"[\n\r]+", ". ")
     # Colons and semicolons end sentences only before a blank, so 'http://' becomes 'http //'.
-    marked = F.regexp_replace(F.regexp_replace(text, r"://", " //"), r"[.!?;:]+([ \t\n\r]|$)", "\u0001")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"://", " //"), _VERSION, "v $1"), r"[.!?;:]+([ \t\n\r]|$)", "\u0001")
     sentences = F.transform(F.split(marked, "\u0001"), lambda s: F.btrim(F.regexp_replace(s, _DROP, " "), F.lit(" .")))
     told = F.filter(sentences, lambda s: s.rlike(TRIGGER))
-    known = F.create_map(*[F.lit(x) for pair in TABLE.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     ids = F.transform(told, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(UNKNOWN)))
     return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
 
 
 def _licences(sequence: Column) -> Column:
     """Licences whose rules fit, in the order of the rules."""
-    rules = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("," + ",".join(ids) + ",").alias("p")) for n, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("," + ",".join(ids) + ",").alias("p")) for n, ids in ALL_RULES])
     start = F.struct(sequence.alias("s"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.struct(
         F.replace(acc["s"], r["p"], F.lit(",|,")).alias("s"),
@@ -154,6 +198,7 @@ def op3_licence_scan(spark, sf_dir):
 
 
 def _twin() -> str:
+    """The rules as they are without ``NOTICES``: equal on tables that hold none of them."""
     def cut(text: str) -> str:
         marked = f"regexp_replace(regexp_replace({text}, '://', ' //', 'g'), '[.!?;:]+([ \\t\\n\\r]|$)', chr(1), 'g')"
         clean = f"list_transform(string_split({marked}, chr(1)), lambda s: trim(regexp_replace(s, '[^a-z0-9.+/\\-]+', ' ', 'g'), ' .'))"

@@ -328,6 +328,23 @@ def test_licences(spark):
     assert {r["doc_id"]: r["n_unknown"] for r in rows}[5] == 1 and licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_notices_as_published(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+    hope = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    cases = [
+        (gpl.format(":", ",", 3) + hope, "GPL-3.0-or-later"), (gpl.format(":", ",", 3), "GPL-3.0-or-later"),
+        (gpl.format(";", ";", 2) + hope, "GPL-2.0-or-later"), (gpl.format(";", ";", 2), "GPL-2.0-or-later"),
+        (mpl + " If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"), (mpl, "MPL-2.0"),
+        (licences._APACHE.format("http").replace("at http", "at\n\n    http").replace("2.0 Unless", "2.0\n\nUnless"), "Apache-2.0"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(df).collect()}
+    assert got == {k: [name] for k, (_, name) in enumerate(cases)}
+    old = spark.createDataFrame([(k, ". ".join(next(s for s, n in licences.KNOWN.items() if n == i) for i in ids) + ".") for k, (_, ids) in enumerate(licences.ALL_RULES) if "mpl-2-terms" not in ids], "doc_id long, text string")
+    assert all(licences.ALL_RULES[r["doc_id"]][0] in r["licences"] for r in licences.scan(old).collect())
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [float(p), float(1 - p)], int(rng.integers(10, 500))) for k, p in enumerate(rng.choice([0.02, 0.9, 0.98], 400))]
