@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .image_copies import op4_image_copies
 from .licences import OP3_SQL, op3_licence_scan
-from .mixing import op7_mixing
+from .mixing import op7_mixing, op7_mixing_to_weights
 from .packing import op6_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -21,6 +21,7 @@ QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op7_mixing_to_weights": op7_mixing_to_weights,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,

@@ -356,6 +356,19 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(got[:2], targets, rtol=0.02) and got[2] >= 0
 
 
+@pytest.mark.parametrize("shares", [(0.7, 0.2, 0.05, 0.05), (0.85, 0.05, 0.05, 0.05), (0.05, 0.05, 0.05, 0.85)])
+def test_mixing_meets_skewed_targets_as_registered(spark, shares):
+    rng = np.random.default_rng(3)
+    rows = [(np.where(np.arange(4) == k % 4, 0.97, 0.01).tolist(), int(rng.integers(50, 500))) for k in range(400)]
+    members = spark.createDataFrame(rows, "p array<double>, tokens long")
+    targets = [s * sum(t for _, t in rows) for s in shares]
+    rate, _ = mixing.fit_rates(members, targets)
+    got = members.withColumn("r", rate).agg(*[F.sum(F.expr(f"r * tokens * p[{i}]")) for i in range(4)], F.min("r")).first()
+    assert np.allclose(got[:4], targets, rtol=mixing.TOLERANCE) and got[4] >= 0
+    with pytest.raises(ValueError):
+        mixing.fit_rates(members, targets, rounds=1)
+
+
 def test_mixing_on_odd_rows(odd):
     mixed, names = mixing.mix(odd, keep=("t",))
     rows = mixed.collect()
