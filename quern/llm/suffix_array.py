@@ -36,21 +36,22 @@ def _sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Positions ``at`` in the order of their suffixes' first ``depth`` bytes."""
     padded = np.concatenate([words, np.zeros(depth + 8, dtype=np.uint64)])
     at = at[np.argsort(padded[at], kind="stable")]
-    key = padded[at]
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(at) else np.zeros(0, dtype=np.int64)
+    if not len(at):
+        return at
+    # Only suffixes that are tied with a neighbour so far are looked at: their places, suffixes and groups.
+    place, own = np.arange(len(at)), at.copy()
+    start = np.concatenate([[True], padded[at][1:] != padded[at][:-1]])
     for shift in range(8, depth, 8):
-        new = np.concatenate([[True], group[1:] != group[:-1]])
-        tied = np.nonzero(~(new & np.concatenate([new[1:], [True]])))[0]
-        if not len(tied):
+        group = np.cumsum(start)
+        tied = ~(start & np.concatenate([start[1:], [True]]))
+        place, own, group = place[tied], own[tied], group[tied]
+        if not len(place):
             break
-        key = padded[at[tied] + shift]
-        order = np.lexsort((key, group[tied]))
-        at[tied] = at[tied][order]
-        key, g = key[order], group[tied]
-        # Group numbers are places, so a split group keeps its place in the whole.
-        start = np.concatenate([[True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])])
-        group[:] = np.where(np.isin(np.arange(len(at)), tied), group, np.arange(len(at)))
-        group[tied] = tied[np.maximum.accumulate(np.where(start, np.arange(len(tied)), 0))]
+        key = padded[own + shift]
+        order = np.lexsort((key, group))
+        own, key = own[order], key[order]
+        at[place] = own
+        start = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
     return at
 
 

@@ -153,8 +153,9 @@ def test_suffix_array_by_brute_force():
 
 
 def brute_removed(docs, length):
-    seen, out = set(), {}
-    for doc, text in sorted(docs.items()):
+    """Per text of ``docs``, given in order: bytes, removed bytes, spans and the sum of what stays."""
+    seen, out = set(), []
+    for text in docs:
         covered = bytearray(len(text))
         for i in range(len(text) - length + 1):
             w = text[i : i + length]
@@ -163,7 +164,7 @@ def brute_removed(docs, length):
             seen.add(w)
         kept = bytes(c for c, m in zip(text, covered) if not m)
         spans = sum(1 for i, m in enumerate(covered) if m and (i == 0 or not covered[i - 1]))
-        out[doc] = (len(text), sum(covered), spans, hashlib.sha256(kept).hexdigest())
+        out.append((len(text), sum(covered), spans, hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -181,7 +182,45 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     texts |= {100: "ab" * 400, 101: "ab" * 60, 102: "z" * 99, 103: "z" * 100, 104: "z" * 101, 105: "é" * 300, 106: shared}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.remove_repeats(df).collect()}
-    assert got == brute_removed({k: t.encode() for k, t in texts.items()}, 100)
+    assert list(got.values()) and got == dict(zip(sorted(texts), brute_removed([texts[k].encode() for k in sorted(texts)], 100)))
+
+
+def test_repeats_of_null_and_repeated_ids(spark):
+    """Rows without an id and rows that share one, with different texts, by brute force in the documented order."""
+    rng = np.random.default_rng(21)
+    passage = "".join(rng.choice(list("abcdefgh "), 240))
+    own = lambda n: "".join(rng.choice(list("klmnop "), n))
+    rows = [(None, own(50) + passage + own(30)), (None, own(200)), (None, passage[40:] + own(5)), (None, own(50)), (None, None)]
+    rows += [(3, own(50) + passage), (3, own(50) + passage[:180] + own(120)), (3, own(20)), (3, passage), (7, passage * 2), (None, own(50) + passage[3:])]
+    rows += [rows[0], rows[5], (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r["doc_id"], r["text"]): r["h"] for r in df.withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).collect()}
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, key.get(r, key.get((r[0], None)))))
+    want = dict(zip(order, brute_removed([t.encode() for _, t in order], 100)))
+    got = sorted((tuple(r)[:5] for r in repeats.remove_repeats(df).collect()), key=repr)
+    assert got == sorted(((i, *want[i, t or ""]) for i, t in rows), key=repr)
+
+
+def test_repeats_of_a_frequent_anchor(spark, monkeypatch):
+    """A phrase in every document, in different contexts: met window by window, sorted in turns, as by brute force."""
+    monkeypatch.setattr(repeats, "FLUSH", 3000)
+    rng = np.random.default_rng(5)
+    phrase = "".join(rng.choice(list("abcdefgh"), 70))
+    words = ["".join(rng.choice(list("uvwxyz"), 40)) for _ in range(12)]
+    texts = {k: words[int(rng.integers(12))] + phrase + words[int(rng.integers(12))] + str(k) for k in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = dict(zip(texts, brute_removed([t.encode() for t in texts.values()], 100)))
+    assert len(repeats.frequent_anchors(repeats._keyed(df, "doc_id", "text"))) > 0
+    run = lambda: {r["doc_id"]: tuple(r)[1:5] for r in repeats.remove_repeats(df).collect()}
+    assert run() == want
+    rows = repeats.Batch(100)
+    for k, t in texts.items():
+        rows.add(k, k, t.encode())
+    found, at, data = rows.stretches()
+    whole = np.concatenate(repeats.settle(found, at, data)[0])["n"].sum()
+    monkeypatch.setattr(repeats, "LIMIT", 4000)
+    monkeypatch.setattr(repeats, "SORTED", 2000)
+    assert np.concatenate(repeats.settle(found, at, data)[0])["n"].sum() == whole
 
 
 def test_repeats_on_odd_texts(odd):
