@@ -5,7 +5,7 @@ are wrapped) and once with each line end as a boundary (licence lines stand
 alone).  Normalised sentences are looked up in a fixed table of known licence
 sentences; the identifiers found, in order, form a sequence.  Ordered rules, the
 longest first, are matched against that sequence; what a rule has matched is
-taken out before the next one looks.  A sentence that talks of licences but is
+taken out before the next one looks; matches do not overlap.  A sentence that talks of licences but is
 not in the table counts as unknown and separates its neighbours.
 
 All of it is one projection of built-in expressions: no shuffle, and texts
@@ -145,7 +145,7 @@ KNOWN, ALL_RULES = _with_notices()
 
 
 def _sequence(text: Column, by_line: bool) -> Column:
-    """Identifiers of the licence sentences of a lower-cased text, in order, as ',a,b,'."""
+    """Identifiers of the licence sentences of a lower-cased text, in order, as ',a,,b,': neighbours share no comma."""
     if by_line:
         text = F.regexp_replace(text, r"[\n\r]+", ". ")
     # Colons and semicolons end sentences only before a blank, so 'http://' becomes 'http //'.
@@ -154,12 +154,12 @@ def _sequence(text: Column, by_line: bool) -> Column:
     told = F.filter(sentences, lambda s: s.rlike(TRIGGER))
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     ids = F.transform(told, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(UNKNOWN)))
-    return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(","))), "")
 
 
 def _licences(sequence: Column) -> Column:
     """Licences whose rules fit, in the order of the rules."""
-    rules = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("," + ",".join(ids) + ",").alias("p")) for n, ids in ALL_RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("".join(f",{i}," for i in ids)).alias("p")) for n, ids in ALL_RULES])
     start = F.struct(sequence.alias("s"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.struct(
         F.replace(acc["s"], r["p"], F.lit(",|,")).alias("s"),
@@ -174,20 +174,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     told = low.withColumn("told", F.col("t").rlike(TRIGGER))
     cut = told.select(
         id_col,
-        F.when(F.col("told"), _sequence(F.col("t"), False)).otherwise(",,").alias("wrapped"),
-        F.when(F.col("told"), _sequence(F.col("t"), True)).otherwise(",,").alias("lines"),
+        F.when(F.col("told"), _sequence(F.col("t"), False)).otherwise("").alias("wrapped"),
+        F.when(F.col("told"), _sequence(F.col("t"), True)).otherwise("").alias("lines"),
     )
     found = cut.withColumn(
         "licences",
         F.when(
-            (F.col("wrapped") == ",,") & (F.col("lines") == ",,"), F.array().cast("array<string>")
+            (F.col("wrapped") == "") & (F.col("lines") == ""), F.array().cast("array<string>")
         ).otherwise(F.array_sort(F.array_distinct(F.concat(_licences(F.col("wrapped")), _licences(F.col("lines")))))),
     )
     return found.select(
         id_col,
         "licences",
-        F.btrim("wrapped", F.lit(",")).alias("wrapped_sentences"),
-        F.btrim("lines", F.lit(",")).alias("line_sentences"),
+        F.replace(F.btrim("wrapped", F.lit(",")), F.lit(",,"), F.lit(",")).alias("wrapped_sentences"),
+        F.replace(F.btrim("lines", F.lit(",")), F.lit(",,"), F.lit(",")).alias("line_sentences"),
         F.regexp_count("lines", F.lit(r"[a-z0-9\-]+")).cast("long").alias("n_sentences"),
         F.regexp_count("lines", F.lit(UNKNOWN)).cast("long").alias("n_unknown"),
     )
@@ -198,31 +198,27 @@ def op3_licence_scan(spark, sf_dir):
 
 
 def _twin() -> str:
-    """The rules as they are without ``NOTICES``: equal on tables that hold none of them."""
-    def cut(text: str) -> str:
-        marked = f"regexp_replace(regexp_replace({text}, '://', ' //', 'g'), '[.!?;:]+([ \\t\\n\\r]|$)', chr(1), 'g')"
-        clean = f"list_transform(string_split({marked}, chr(1)), lambda s: trim(regexp_replace(s, '[^a-z0-9.+/\\-]+', ' ', 'g'), ' .'))"
-        told = f"list_filter({clean}, lambda s: regexp_matches(s, '{TRIGGER}'))"
-        known = "map([" + ", ".join(f"'{s}'" for s in TABLE) + "], [" + ", ".join(f"'{k}'" for k in TABLE.values()) + "])"
-        return f"',' || array_to_string(list_transform({told}, lambda s: coalesce({known}[s], '{UNKNOWN}')), ',') || ','"
-
-    sql = f"""
-with l as (select doc_id, lower(coalesce(text, '')) t from documents),
-c as (select doc_id,
-  case when regexp_matches(t, '{TRIGGER}') then {cut("t")} else ',,' end wrapped,
-  case when regexp_matches(t, '{TRIGGER}') then {cut("regexp_replace(t, '[' || chr(10) || chr(13) || ']+', '. ', 'g')")} else ',,' end lines
-  from l),
-s0 as (select *, wrapped w, lines n, ''::varchar f from c)"""
-    for k, (name, ids) in enumerate(RULES):
-        p = "," + ",".join(ids) + ","
-        sql += f""",
-s{k + 1} as (select doc_id, wrapped, lines, replace(w, '{p}', ',|,') w, replace(n, '{p}', ',|,') n,
-  f || case when contains(w, '{p}') or contains(n, '{p}') then '{name},' else '' end f from s{k})"""
-    return sql + f"""
-select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(f, ','), lambda x: x <> ''))), ',') licences,
-  trim(wrapped, ',') wrapped_sentences, trim(lines, ',') line_sentences,
-  len(regexp_extract_all(lines, '[a-z0-9\\-]+'))::bigint n_sentences, len(regexp_extract_all(lines, '{UNKNOWN}'))::bigint n_unknown
-from s{len(RULES)}
+    """The same result reached otherwise: sentences as rows that are joined to the table, a sequence as a string with one
+    character per sentence, and rules as such strings."""
+    names = list(dict.fromkeys(KNOWN.values()))
+    letter = {name: chr(0xE000 + k) for k, name in enumerate(names)}
+    # Some rules name the same sentences; the first of them takes them all.
+    rules = ", ".join(f"{{'n': '{name}', 'p': '{''.join(letter[i] for i in ids)}'}}" for name, ids in ALL_RULES)
+    table_ = ", ".join(f"('{s}', '{k}', '{letter[k]}')" for s, k in KNOWN.items())
+    return f"""
+with known(sentence, id, letter) as (values {table_}),
+low as (select row_number() over () r, doc_id, lower(coalesce(text, '')) t from documents),
+both_cuts as (select r, 1 way, t from low union all select r, 2, regexp_replace(t, '[\\n\\r]+', '. ', 'g') from low),
+prepared as (select r, way, regexp_replace(replace(t, '://', ' //'), '\\bv\\.[ \\t\\n\\r]+([0-9])', 'v \\1', 'g') t from both_cuts where regexp_matches(t, '{TRIGGER}')),
+cut as (select r, way, unnest(regexp_split_to_array(t, '[.!?;:]+(?:[ \\t\\n\\r]|$)')) s, generate_subscripts(regexp_split_to_array(t, '[.!?;:]+(?:[ \\t\\n\\r]|$)'), 1) k from prepared),
+told as (select r, way, k, trim(regexp_replace(s, '[^a-z0-9.+/\\-]+', ' ', 'g'), ' .') s from cut),
+named as (select r, way, string_agg(coalesce(letter, '?'), '' order by k) letters, string_agg(coalesce(id, '{UNKNOWN}'), ',' order by k) ids,
+  count(*) n, count(*) filter (id is null) u from told left join known on s = sentence where regexp_matches(s, '{TRIGGER}') group by r, way),
+matched as (select r, way, ids, n, u, list_reduce(list_prepend({{'n': '', 'p': letters}}, [{rules}]),
+  lambda a, x: {{'n': case when contains(a.p, x.p) then a.n || x.n || ',' else a.n end, 'p': replace(a.p, x.p, '|')}}).n found from named)
+select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(coalesce(w.found, '') || coalesce(l.found, ''), ','), lambda x: x <> ''))), ',') licences,
+  coalesce(w.ids, '') wrapped_sentences, coalesce(l.ids, '') line_sentences, coalesce(l.n, 0) n_sentences, coalesce(l.u, 0) n_unknown
+from low left join matched w on w.r = low.r and w.way = 1 left join matched l on l.r = low.r and l.way = 2
 """
 
 
