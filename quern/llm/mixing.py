@@ -12,14 +12,14 @@ gradients scaled by their curvature: the optimum is r_i = max(0, 1 + p_i . x), s
 the totals and the (domains x domains) curvature of the rows with a rate above zero, and takes
 a damped Newton step in x.  The ridge gives way until every target is met within
 ``TOLERANCE``; a fit that does not get there raises.  A round reads the written table once,
-keeps no lineage and moves one row of sums.
+keeps no lineage and moves k * k + k + 1 sums a task.
 
 Scale: training reads a bounded sample of labelled rows; the posterior is one
 narrow pass over all whole texts; each round scans the id-free numeric columns.
 
 Defined results: null and empty texts have no tokens and keep the classifier's
-prior as posterior; rows without a label are not learnt from; repeated rows get
-equal rates; with no label at all there is one domain, ``other``; an empty table
+prior as posterior; rows without a label are not learnt from, and an id that is
+repeated counts once, with its smallest label and text; repeated rows get equal rates; with no label at all there is one domain, ``other``; an empty table
 gives an empty table; target domains that are the likeliest of no document are left unmet; other columns
 are not looked at.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 from .ngrams import features, words
-from .quality_classifier import unique_features
+from .quality_classifier import one_text_each, training_rows
 
 BITS = 16
 MAX_TRAIN = 3000
@@ -73,20 +73,9 @@ def train_posterior(labelled: DataFrame, label_col: str, id_col: str, text_col:
     )
     # Hashes choose; only the chosen rows' features leave the executors.
     chosen = picked.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
-
-    def run(batches):
-        for b in batches:
-            at, x = zip(*(unique_features(t.as_py() or b"", BITS) for t in b.column(1)), strict=True) if len(b) else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(at), pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float32()))], names=["y", "at", "x"]
-            )
-
-    got = (
-        picked.where(F.col("h") <= F.lit(chosen)).select("y", "t")
-        .mapInArrow(run, "y string, at array<int>, x array<float>").limit(max_train).toArrow()
-    )
-    rows = [(names.index(y.as_py()), a.values.to_numpy(), x.values.to_numpy()) for y, a, x in zip(*got.columns, strict=True)]
-    rows.sort(key=lambda r: (r[0], len(r[1]), float(r[2].sum()), int(r[1].sum())))
+    if chosen is None:
+        return Posterior(names, np.zeros((len(names), (1 << BITS) + 1), dtype=np.float32))
+    rows = [(names.index(y), at, x) for at, x, y in training_rows(one_text_each(picked.where(F.col("h") <= F.lit(chosen))), BITS)]
     weights = np.zeros((len(names), (1 << BITS) + 1))
     squares = np.full_like(weights, 1e-2)
     rng = np.random.default_rng(5)
@@ -128,6 +117,30 @@ def _rate(pull: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) + sum((F.col("p")[i] * F.lit(float(x)) for i, x in enumerate(pull)), F.lit(0.0)))
 
 
+def _sums(members: DataFrame, pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums over all rows at the rates of ``pull``: tokens by squared rate, expected totals, and the curvature of the rows
+    with a rate above zero.  A task adds up its rows; k * k + k + 1 numbers, summed by place, reach the driver."""
+    k = len(pull)
+
+    def run(batches):
+        out = np.zeros(1 + k + k * k)
+        for b in batches:
+            if not len(b):
+                continue
+            t = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(t), k)
+            r = np.maximum(0.0, 1.0 + p @ pull)
+            out[0] += (t * r * r).sum()
+            out[1 : 1 + k] += (t * r) @ p
+            out[1 + k :] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["place", "x"])
+
+    got = np.zeros(1 + k + k * k)
+    for r in members.select("tokens", "p").mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect():
+        got[r["place"]] = r["x"]
+    return float(got[0]), got[1 : 1 + k], got[1 + k :].reshape(k, k)
+
+
 def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[Column, list[list[float]]]:
     """The rate column of ``members`` (tokens, p), and the expected totals of every round.
 
@@ -136,31 +149,24 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, ri
     k = len(targets)
     wanted = np.array(targets, dtype=np.float64)
     best = F.array_position("p", F.array_max("p"))
-    base = members.agg(F.sum("tokens").alias("all"), *[F.sum(F.when(best == i + 1, F.col("tokens"))).alias(f"b{i}") for i in range(k)]).first()
-    total = float(base["all"] or 0)
+    likeliest = {r["d"]: r["n"] for r in members.groupBy(best.alias("d")).agg(F.sum("tokens").alias("n")).collect()}  # a row per domain
+    total = float(sum(n or 0 for n in likeliest.values()))
     if not total:
         return F.lit(1.0), []
-    aim = np.array([wanted[i] > 0 and bool(base[f"b{i}"]) for i in range(k)])
+    aim = np.array([wanted[i] > 0 and bool(likeliest.get(i + 1)) for i in range(k)])
     if not aim.any():
         return F.lit(1.0), []
     pull, direction, step, slope, low = np.zeros(k), np.zeros(k), 1.0, 0.0, np.inf
     seen: list[list[float]] = []
     for _ in range(rounds):
         there = pull + step * direction
-        t, p, r = F.col("tokens"), F.col("p"), _rate(there)
-        live = members.select("tokens", "p", r.alias("r"), F.when(r > 0, F.col("tokens")).otherwise(0).alias("live"))
-        sums = live.agg(
-            F.sum(t * F.col("r") * F.col("r")).alias("square"),
-            *[F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k)],
-            *[F.sum(F.col("live") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
-        got = np.array([sums[f"s{i}"] for i in range(k)], dtype=np.float64)
+        square, got, curvature = _sums(members, there)
         seen.append(got.tolist())
         off = np.where(aim, got / np.where(aim, wanted, 1.0) - 1.0, 0.0)
         if np.abs(off).max() <= TOLERANCE / 20:
             return _rate(there), seen
         spring = np.where(aim, ridge * wanted**2 / total, 0.0)
-        value = sums["square"] / 2 - wanted[aim] @ there[aim] + spring @ there**2 / 2
+        value = square / 2 - wanted[aim] @ there[aim] + spring @ there**2 / 2
         if value > low + 1e-4 * step * slope + 1e-9 * total:
             step /= 2
             continue
@@ -171,12 +177,8 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, ri
             ridge /= 10  # what holds the rates near one gives way to the targets
             spring = spring / 10
             gradient = np.where(aim, got - wanted + spring * there, 0.0)
-            value = sums["square"] / 2 - wanted[aim] @ there[aim] + spring @ there**2 / 2
-        m = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                m[i, j] = m[j, i] = sums[f"m{i}_{j}"]
-        m = (m + np.diag(spring + 1e-9 * total))[np.ix_(aim, aim)]
+            value = square / 2 - wanted[aim] @ there[aim] + spring @ there**2 / 2
+        m = (curvature + np.diag(spring + 1e-9 * total))[np.ix_(aim, aim)]
         pull, low, step, direction = there, value, 1.0, np.zeros(k)
         direction[aim] = -np.linalg.solve(m, gradient[aim])
         slope = float(gradient @ direction)
@@ -187,8 +189,7 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, ri
 
 def tempered_targets(members: DataFrame, k: int, temperature: float = TEMPERATURE) -> list[float]:
     """Token totals to the power ``temperature``, scaled so that the largest domain stays as it is: nobody is thinned out."""
-    row = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-    totals = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+    _, totals, _ = _sums(members, np.zeros(k))
     top = totals.max()
     return (top * (totals / top) ** temperature).tolist() if top > 0 else [0.0] * k
 

@@ -1,16 +1,19 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with
 follow-the-regularised-leader updates and scored as sparse dot products.
 
-Training reads a bounded sample of labelled rows (``max_train``, smallest hash
-first), whose features are made on the executors; one pass of per-coordinate
-FTRL-Proximal updates per epoch runs on the driver, whose memory is bounded by
-``max_train`` times ``max_features`` and by the 2**bits weights.  Scoring is one
-narrow pass over all whole texts with the weights as a broadcast of fixed size.
+Training reads a bounded sample of labelled rows, smallest hash first: at most
+``max_train`` rows, and as many of these as have ``max_features`` features
+together.  The features of whole texts are made on the executors; one pass of
+per-coordinate FTRL-Proximal updates per epoch runs on the driver, whose memory
+is bounded by ``max_features`` and by the 2**bits weights.  Scoring is one narrow
+pass over all whole texts with the weights as a broadcast of fixed size.
 
 Defined results: null and empty texts have no features and score by the bias;
-rows with a null label or id are not learnt from; repeated rows are scored one
-by one; without any label every score is one half; other columns are not looked
-at.  Language, source and id are never inputs of a score.
+rows with a null label or id are not learnt from, nor are ids that are labelled
+both ways; an id that is repeated, as label or as document, counts once, with its
+smallest text; repeated rows are scored one by one; without labels of both kinds every score is one half;
+other columns are not looked at.  Language, source and id are never inputs of a
+score.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 from .ngrams import features
 
 BITS = 18
 MAX_TRAIN = 6000
+MAX_FEATURES = 12_000_000  # of all training rows together; twelve bytes each
 
 
 class Ftrl:
@@ -83,17 +87,39 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _features_of(docs: DataFrame, bits: int) -> DataFrame:
-    """(y, at, x) of rows (y, t)."""
+def training_rows(docs: DataFrame, bits: int, max_features: int = MAX_FEATURES) -> list[tuple[np.ndarray, np.ndarray, object]]:
+    """(buckets, weights, y) of rows (h, y, t), which are bounded already, in an order of their own: those with the smallest h,
+    no more than have ``max_features`` features together."""
 
     def run(batches):
         for b in batches:
-            at, x = zip(*(unique_features(t.as_py() or b"", bits) for t in b.column(1)), strict=True) if len(b) else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(at), pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float32()))], names=["y", "at", "x"]
-            )
+            for h, y, t in zip(b.column(0), b.column(1), b.column(2)):
+                at, x = unique_features(t.as_py() or b"", bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h.as_py()], pa.int64()), pa.array([y.as_py()], b.schema.field(1).type), pa.array([len(at)], pa.int64()),
+                     pa.array([at.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
+                    names=["h", "y", "n", "at", "x"],
+                )
+
+    made = stash(docs.mapInArrow(run, f"h long, y {docs.schema['y'].dataType.simpleString()}, n long, at binary, x binary"), "training-rows")
+    sizes = sorted((r["h"], r["n"]) for r in made.select("h", "n").collect())  # max_train rows at most
+    total, last = 0, None
+    for h, n in sizes:
+        total += n
+        if total > max_features:
+            break
+        last = h
+    if last is None:
+        return []
+    got = made.where(F.col("h") <= F.lit(last)).select("y", "at", "x").toArrow()
+    rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y.as_py()) for y, a, x in zip(*got.columns, strict=True)]
+    rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), int(r[0].sum())))  # the order of tasks does not matter
+    return rows
+
 
-    return docs.mapInArrow(run, "y double, at array<int>, x array<float>")
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """Of rows (h, y, t) with one h the smallest: an id that is repeated counts once."""
+    return rows.groupBy("h").agg(F.min(F.struct("y", "t")).alias("r")).select("h", "r.y", "r.t")
 
 
 def unique_features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,24 +130,21 @@ def unique_features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    bits: int = BITS, max_train: int = MAX_TRAIN,
+    bits: int = BITS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES,
 ) -> np.ndarray:
     """Weights learnt from at most ``max_train`` labelled rows outside the held-out third."""
     picked = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-        .dropDuplicates(["id"])
-        .orderBy(F.xxhash64("id"), "id")
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(label_col).cast("double").alias("y"), F.max(label_col).cast("double").alias("other"))
+        .where("y = other")
+        .select(F.xxhash64("id").alias("h"), "id", "y")
+        .orderBy("h", "id")
         .limit(max_train)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    sample = texts.join(F.broadcast(picked), "id").select("y", "t")  # max_train rows of two numbers
-    got = _features_of(sample, bits).toArrow()
-    rows = [
-        (a.values.to_numpy(), x.values.to_numpy(), y.as_py()) for y, a, x in zip(*got.columns, strict=True)  # views of the table
-    ]
-    rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), int(r[0].sum())))  # the order of tasks does not matter
-    return train(rows, bits)
+    sample = one_text_each(texts.join(F.broadcast(picked), "id"))  # max_train rows of three numbers
+    return train(training_rows(sample, bits, max_features), bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
