@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
     return sc.getCheckpointDir()
 
 
@@ -31,7 +34,39 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((written, path))
+    return written
+
+
+#: What ``stash`` has written and nobody has discarded.
+_WRITTEN: list[tuple[DataFrame, str]] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df, path in [w for w in _WRITTEN if any(w[0] is t for t in tables)]:
+        _WRITTEN.remove((df, path))
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard_all_but(kept: DataFrame) -> None:
+    """Delete every stashed table but ``kept``: for a caller that has written the result it wanted."""
+    discard(*[df for df, _ in _WRITTEN if df is not kept])
+
+
+def join_frequent(rows: DataFrame, one_each: DataFrame, key: str, n: int, share: int = 1000) -> DataFrame:
+    """The inner join of ``rows``, at most ``n`` of them or little more, with a table of one row per ``key``.
+
+    Keys of more than one in ``share`` of all rows, at most ``share`` keys, are joined by broadcast, so that none of them fills a task.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    frequent = counts.where(F.col("_rows") > max(1000, n // share)).select(key)
+    by_broadcast = one_each.join(F.broadcast(frequent), key, "left_semi")
+    others = rows.join(F.broadcast(frequent), key, "left_anti").join(one_each, key)
+    return others.unionByName(rows.join(F.broadcast(by_broadcast), key))
 
 
 def words_of(text: Column) -> Column:

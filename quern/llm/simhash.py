@@ -15,7 +15,8 @@
 Scale: 64-bit fingerprints of unrelated texts lie about 32 bits apart, so with
 radius 4 a split leaves about two thirds of the queries with both branches: the
 compared pairs grow as about n^1.75 (a brute force grows as n^2).  The top tree
-deepens with the number of distinct fingerprints, at 2^20 of them a leaf.
+deepens with the number of distinct fingerprints, at 2^20 of them a sixteenth of its
+leaves.  The centre of a large group is joined by broadcast, at most a thousand of them.
 
 Defined results: null and empty texts have no words and fingerprint zero, and
 link like any other; a null id counts as no id when the smallest is taken; rows
@@ -31,14 +32,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import discard, join_frequent, stash, table
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+SAMPLE_LEAF = 64  # sampled fingerprints per leaf of the top tree
+MAX_SAMPLE = 1 << 21  # of all leaves together
 _LANES = (np.arange(8) * 256).astype(np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -61,15 +64,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint as a signed long."""
+    """(id, hash, fp) per row: a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["id", "hash", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, hash long, fp long")
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells texts of one id apart; null is none of them."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), F.col(text_col).isNull())
 
 
 def distance(a, b):
@@ -97,18 +105,18 @@ class Tree:
         self._grow(2 * node + 1, rows[d <= r])
         self._grow(2 * node + 2, rows[d > r])
 
-    def route(self, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Home leaf of each row, and a (rows, leaves) table of the leaves its ball may reach."""
+    def route(self, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Home leaf of each row, and (row, leaf) of every leaf its ball may reach; only reached nodes are looked at."""
         home = np.zeros(len(rows), dtype=np.int64)
-        reach = np.ones((len(rows), 1), dtype=bool)
+        row, node = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64)
         for level in range(self.depth):
-            first = 2**level - 1
-            d = distance(rows[:, None], self.points[None, first : 2 * first + 1]).astype(np.int64)
-            r = self.radii[None, first : 2 * first + 1]
-            left, right = reach & (d - radius <= r), reach & (d + radius > r)
-            reach = np.stack([left, right], axis=2).reshape(len(rows), -1)
-            home = 2 * home + (d[np.arange(len(rows)), home] > r[0, home])
-        return home, reach
+            at = node + 2**level - 1
+            d, r = distance(rows[row], self.points[at]).astype(np.int64), self.radii[at]
+            own = node == home[row]
+            home[row[own]] = 2 * node[own] + (d[own] > r[own])
+            left, right = d - radius <= r, d + radius > r
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+        return home, row, node
 
 
 def _local_links(homes: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 1024):
@@ -202,11 +210,13 @@ def _shard(radius: int):
     return run
 
 
-def shard_links(distinct: DataFrame, radius: int = RADIUS, sample_rows: int = 4096, leaf_rows: int = 1 << 20, slices: int = 4):
+def shard_links(distinct: DataFrame, radius: int = RADIUS, leaf_rows: int = 1 << 20, slices: int = 4):
     """Stars (u, v) over the distinct fingerprints ``fp`` whose closure links all within ``radius``."""
     n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy(np.int64)
     depth = max(4, 4 + math.ceil(math.log2(max(n, 1) / leaf_rows)))
+    sample_rows = min(MAX_SAMPLE, max(4096, SAMPLE_LEAF << depth))  # the deeper the tree, the more it is grown on
+    top = distinct.select(F.xxhash64("fp").alias("h"), "fp").orderBy("h", "fp").limit(sample_rows)
+    sample = top.select("fp").toPandas()["fp"].to_numpy(np.int64)
     tree = distinct.sparkSession.sparkContext.broadcast(Tree(sample.view(np.uint64), depth))
 
     def deal(batches):
@@ -215,10 +225,10 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, sample_rows: int = 40
             signed = b.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(signed), 8192):
                 fp = signed[at : at + 8192]
-                home, reach = tree.value.route(fp.view(np.uint64), radius)
+                home, row, leaf = tree.value.route(fp.view(np.uint64), radius)
                 part = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % slices
-                reach &= np.arange(reach.shape[1])[None, :] >= home[:, None]
-                row, leaf = np.nonzero(reach)
+                later = leaf >= home[row]
+                row, leaf = row[later], leaf[later]
                 homes = np.repeat(home * slices, slices) + np.tile(np.arange(slices), len(fp))
                 shard = np.concatenate([homes, leaf * slices + part[row]])
                 out = np.concatenate([np.repeat(fp, slices), fp[row]])
@@ -232,13 +242,13 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, sample_rows: int = 40
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(u, v): every node of ``links`` (u, v) but the smallest of its component, with that smallest node."""
 
-    def rooted(edges: DataFrame, small: bool) -> DataFrame:
+    def rooted(edges: DataFrame, n: int, small: bool) -> DataFrame:
         if small:
             seen = edges.select(F.greatest("u", "v").alias("c"), F.least("u", "v").alias("x"))
         else:
             seen = edges.select(F.col("u").alias("c"), F.col("v").alias("x")).union(edges.select("v", "u"))
         low = seen.groupBy("c").agg(F.min("x").alias("m"))
-        joined = seen.join(low, "c").withColumn("m", F.least("m", "c"))
+        joined = join_frequent(seen, low, "c", n).withColumn("m", F.least("m", "c"))
         ties = joined.where(F.col("x") > F.col("c") if not small else F.col("x") != F.col("m")).select(F.col("x").alias("u"), F.col("m").alias("v"))
         if small:
             ties = ties.union(low.select(F.col("c").alias("u"), F.least("m", "c").alias("v")))
@@ -247,7 +257,9 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = stash(links.where("u != v").distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        edges = stash(rooted(rooted(edges, small=False), small=True), "stars")
+        n, old = 2 * edges.count(), edges
+        edges = stash(rooted(rooted(edges, n, small=False), n, small=True), "stars")
+        discard(old)
         new = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state:
             return edges
@@ -255,21 +267,36 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, fp) per row, and (fp, low, first, root) per distinct fingerprint: the smallest id, the first row that has it and its group."""
+    fps = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
+    distinct = stash(fps.groupBy("fp").agg(F.min("id").alias("low"), first.alias("first")), "distinct-fingerprints")
+    roots = components(shard_links(distinct, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return fps, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id
     that can be reached over links of at most ``radius`` differing bits."""
-    fps = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stash(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = components(shard_links(distinct, radius))
-    member = distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    fps, member = _grouped(docs, id_col, text_col, radius, shingle)
     group = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(group, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    named = stash(join_frequent(member, group, "root", fps.count()).select("fp", "component_id"), "named-fingerprints")
+    return join_frequent(fps, named, "fp", fps.count()).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The first row of each near-duplicate group of ``docs``: that with the smallest id, rows without one last; of rows
+    that share it, that with the smallest hash of its text; of rows that repeat both, one."""
+    _, member = _grouped(docs, id_col, text_col, radius, shingle)
+    first = member.groupBy("root").agg(F.min("first").alias("r")).select(F.col("r.id").alias("_id"), F.col("r.hash").alias("_hash"))
+    rows = docs.withColumn("_hash", text_hash(text_col))
+    chosen = rows.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (rows["_hash"] == first["_hash"]), "left_semi")
+    own = Window.partitionBy(id_col, "_hash").orderBy("_hash")
+    return chosen.withColumn("_n", F.row_number().over(own)).where("_n = 1").select(*docs.columns)
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
