@@ -14,8 +14,8 @@
    common, has to be sorted by one task.
 
 Defined results: null and empty texts are one token, the end-of-document id;
-rows that repeat an id are packed one by one; ties in length go by id, then by
-start; an empty table gives an empty table; other columns are not looked at.
+rows that repeat an id are packed one by one; ties in length go by a hash of
+id and start, then by these; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -174,18 +174,21 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 
 def pack(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id",
-    text_col: str = "text", buckets: int = 64,
+    text_col: str = "text", buckets: int = 64, in_bucket_rows: int = 50_000,
 ) -> DataFrame:
     """One row per piece: where it comes from, its checksum, its sequence and offset there."""
     spark = docs.sparkSession
     pieces = stash(tokenised_pieces(docs, tokenizer_path, window, end_id, id_col, text_col), "pieces")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
+    # Full windows are as many as the text is long, all of one length: their buckets grow with them.
+    full_buckets = max(buckets, -(-pieces.count() // in_bucket_rows))
+    dealt = F.when(F.col("length") == window, full_buckets).otherwise(buckets)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), dealt).cast("int"))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = stash(
         counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "bucket", "n", F.coalesce("before", F.lit(0)).alias("before")),
         "length-ranks",
-    )  # at most window * buckets rows
+    )  # at most window * buckets rows, and one for every in_bucket_rows pieces
     histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(window, 0)
     rows = plan(histogram, window) + ([(window, 0, full, 0, 0)] if full else [])
