@@ -1,7 +1,8 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
-Writer: a dictionary is built from a bounded sample of the records to be
-archived and embedded in a skippable frame at the head of every archive file;
+Writer: a dictionary is trained on a bounded sample of the records as they are
+archived, headers included, and embedded in a skippable frame at the head of
+every archive file (of the sample itself where it is too small to train on);
 each record is a frame of its own that refers to it, so a reader can start at any
 record.  Equal payloads of at least ``min_revisit`` bytes are stored once, as the
 response with the largest id; the others become revisit records.
@@ -12,9 +13,11 @@ that succeeded, so a lost executor or a repeated task leaves at most files that
 nobody reads.
 
 Defined results: a null payload is empty; a null url is written as an empty
-target; a null id is written as an empty record id, comes back as null and is
-always a response; rows that repeat an id are written one by one, and if theirs
-is the largest id of a payload all of them are responses; an empty table writes
+target; a record is named by id and digest, so that only rows equal in both share
+a name; a null id is written as an empty one, comes back as null and is always a
+response; rows that repeat an id are written one by one, and if theirs is the
+largest id of a payload all of them are responses; payloads of any length are one
+record; an empty table writes
 no file and reads back empty; other columns are not looked at.
 """
 
@@ -33,7 +36,8 @@ from .common import shared_dir, stash, table
 DICT_MAGIC = 0x184D2A5D
 MIN_REVISIT = 1000
 SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 8 << 10
+SAMPLE_RECORD = 128 << 10  # larger payloads are not trained on; the trainer looks at no more of one
+SAMPLE_BYTES = 16 << 20
 DICT_BYTES = 112_640
 FILE_BYTES = 64 << 20
 MAX_IN_FILE = 1 << 20
@@ -54,16 +58,16 @@ def _open(path: str, mode: str):
     return where.open_output_stream(name, compression=None)
 
 
-def build_dictionary(payloads: list[bytes], size: int = DICT_BYTES) -> bytes:
+def build_dictionary(records: list[bytes], size: int = DICT_BYTES) -> bytes:
     """Dictionary trained on records; too few or too short ones serve as a raw dictionary instead."""
     import zstandard
 
-    if not payloads:
+    if not records:
         return b""
     try:
-        return zstandard.train_dictionary(size, payloads, level=3).as_bytes()
+        return zstandard.train_dictionary(size, records, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(payloads)[-size:]
+        return b"".join(records)[-size:]
 
 
 def record_of(row: dict) -> bytes:
@@ -73,7 +77,7 @@ def record_of(row: dict) -> bytes:
     number = lambda x: "" if x is None else str(x)
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{number(row['id'])}>"),
+        ("WARC-Record-ID", f"<urn:page:{number(row['id'])}:{row['digest']}>"),
         ("WARC-Target-URI", (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{row['digest']}"),
@@ -82,7 +86,7 @@ def record_of(row: dict) -> bytes:
     if revisit:
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:page:{number(row['refers_to'])}>"),
+            ("WARC-Refers-To", f"<urn:page:{number(row['refers_to'])}:{row['digest']}>"),
         ]
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     lines = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
@@ -196,16 +200,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sampled(rows: DataFrame) -> list[bytes]:
-    """At most ``SAMPLE_ROWS`` payloads, those with the smallest hash of digest and id, each up to ``SAMPLE_BYTES``.
+    """Whole records to train on: at most ``SAMPLE_ROWS`` and ``SAMPLE_BYTES``, those with the smallest hash of digest and id.
 
     The hashes are chosen first: only they are gathered from every task.
     """
-    hashed = rows.where("size > 0").withColumn("h", F.xxhash64("digest", "id"))
-    top = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    hashed = rows.where((F.col("size") > 0) & (F.col("size") <= SAMPLE_RECORD) & ~F.col("revisit")).withColumn("h", F.xxhash64("digest", "id"))
+    total, top = 0, None
+    for r in hashed.select("h", "size").orderBy("h").limit(SAMPLE_ROWS).collect():
+        total += r["size"]
+        if total > SAMPLE_BYTES:
+            break
+        top = r["h"]
     if top is None:
         return []
-    chosen = hashed.where(F.col("h") <= F.lit(top)).select("h", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE_ROWS)
-    return [bytes(r["p"]) for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["p"]))]
+    chosen = hashed.where(F.col("h") <= F.lit(top)).limit(SAMPLE_ROWS)
+    return sorted(record_of(r.asDict()) for r in chosen.collect())
 
 
 def archive(
@@ -231,14 +240,14 @@ def archive(
     out = keyed.select(
         "id", "url", "payload", "digest", "size", revisit.alias("revisit"), F.col("kept").alias("refers_to"),
     )
-    dictionary = build_dictionary(_sampled(rows))
+    dictionary = build_dictionary(_sampled(out))
     return stash(write_archives(out, dictionary, folder), "manifest")
 
 
 def op1_warc_writer(spark, sf_dir):
     """Archive all pages and read every record back."""
     records = read_archives(archive(table(spark, sf_dir, "pages")))
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*):", 1).try_cast("long")
     response = F.col("record_type") == "response"
     return records.select(
         number("record_id").alias("page_id"),
