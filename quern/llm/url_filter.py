@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
-The list holds canonical keys: ``host + path`` of single pages, and rules, whose
-host stands for all its subdomains and whose path for all paths that start with
-it.  A url asks for its own canonical key and for every (host suffix, path
+The list holds canonical urls of single pages (host, path and the query's parameters
+in order, without those that only track a visit), and rules, whose host stands for
+all its subdomains and whose path for all paths that start with it.  A url asks for its own canonical key and for every (host suffix, path
 prefix of a listed length) it has.  The filter lets through the keys that may be
 listed; only those meet the list in an exact hash join, which removes false
 positives, so the filter decides cost and never the result.
@@ -10,7 +10,7 @@ positives, so the filter decides cost and never the result.
 Scale: the filter is a fixed number of 256-bit blocks, never above
 ``max_filter_bytes`` however long the list is (a fuller filter passes more keys
 on to the join); it is built by a partial-aggregated ``bit_or`` per block, and
-only these bounded blocks reach the driver.  Rules are broadcast up to
+only these blocks, at most ``max_filter_bytes``, reach the driver and are sent out.  Rules are broadcast up to
 ``max_rules``; the page list is never broadcast.  The key of the join is salted, as one
 url may hold a large part of all rows.
 
@@ -66,6 +66,18 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return _lower_az(host), path
 
 
+#: Parameters that name a visit and not a page.
+TRACKING = r"^(utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)"
+
+
+def canonical(url: Column) -> Column:
+    """Host and path, and the query without tracking parameters, its parameters sorted."""
+    host, path = host_path(url)
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*\?([^#]*)", 1)
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
 def _block_and_masks(key_hash: Column, n_blocks: int) -> tuple[Column, list[Column]]:
     low = key_hash.bitwiseAND(F.lit(0xFFFFFFFF))
     block = F.pmod(F.shiftrightunsigned(key_hash, 32), F.lit(n_blocks)).cast("int")
@@ -117,13 +129,13 @@ def judge(
     """Every row of ``pages``: id, host, path, ``rule`` (the longest that fits, else null),
     ``listed`` (its canonical url is on the list) and the verdict.
 
-    ``listed`` has one column ``key``: canonical urls (host + path) to block where no rule fits.
+    ``listed`` has one column ``key``: urls as ``canonical`` gives them, to block where no rule fits.
     """
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; more than {max_rules} are not broadcast")
     spark = pages.sparkSession
     host, path = host_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("own"))
 
     rule_rows = spark.createDataFrame(
         [(r.host + r.path, r.verdict) for r in rules], "key string, rule_verdict string"
@@ -142,13 +154,13 @@ def judge(
         lambda p: p.isNotNull(),
     )
     asked = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    own = F.array(F.concat("host", "path"))
+    own = F.array("own")
     asked = urls.withColumn("asked", F.concat(own, asked) if rules else own)
     hit = probe(F.transform("asked", lambda k: F.xxhash64(k)))
     flagged = asked.withColumn("hit", hit).withColumn("n", F.monotonically_increasing_id())
     # Written once, so that row numbers stay the same whatever is computed again.
     flagged = stash(
-        flagged.select("n", "id", "host", "path", F.expr("hit[0] as own_hit"), F.expr("filter(asked, (k, i) -> i > 0 and hit[i]) as hits")),
+        flagged.select("n", "id", "host", "path", F.expr("if(hit[0], own, null) as own"), F.expr("hit[0] as own_hit"), F.expr("filter(asked, (k, i) -> i > 0 and hit[i]) as hits")),
         "flagged-urls",
     )
 
@@ -159,12 +171,12 @@ def judge(
         .agg(F.max(F.struct(F.length("key").alias("len"), "key", "rule_verdict")).alias("best"))
     )
     possible = flagged.where("own_hit").select(
-        "n", F.concat("host", "path").alias("key"), F.pmod("n", F.lit(salts)).cast("int").alias("salt")
+        "n", F.col("own").alias("key"), F.pmod("n", F.lit(salts)).cast("int").alias("salt")
     )
     salted = listed.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     on_list = possible.join(salted, ["key", "salt"]).select("n", F.lit(True).alias("listed"))
     return (
-        flagged.drop("hits", "own_hit")
+        flagged.drop("hits", "own", "own_hit")
         .join(fits, "n", "left")
         .join(on_list, "n", "left")
         .select(
@@ -180,8 +192,7 @@ def judge(
 
 def tracked_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """The list of the registered query: canonical urls of all pages that were linked with a tracking parameter."""
-    host, path = host_path(F.col(url_col))
-    return pages.where(F.col(url_col).contains("utm_source=")).select(F.concat(host, path).alias("key"))
+    return pages.where(F.col(url_col).contains("utm_source=")).select(canonical(F.col(url_col)).alias("key"))
 
 
 def op9_url_filter(spark, sf_dir):
@@ -198,12 +209,16 @@ h as (
     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path
   from u),
+q as (
+  select *, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '://[^?#]*\\?([^#]*)', 1), '&'),
+    lambda p: p <> '' and not regexp_matches(p, '{TRACKING}'))) params from h),
+c as (select *, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end own from q),
 r(rhost, rpath, v) as (values {_RULE_VALUES}),
 fit as (
   select page_id, url, arg_max(rhost || rpath, length(rhost || rpath)) rule, arg_max(v, length(rhost || rpath)) v
   from h join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1, 2),
-listed as (select distinct host || path k from h where contains(url, 'utm_source='))
-select h.page_id, host, path, rule, coalesce(fit.v, case when k is null then 'allow' else 'block' end) verdict, k is not null listed
-from h left join fit on h.page_id is not distinct from fit.page_id and h.url is not distinct from fit.url
-left join listed on k = host || path
+listed as (select distinct own k from c where contains(url, 'utm_source='))
+select c.page_id, host, path, rule, coalesce(fit.v, case when k is null then 'allow' else 'block' end) verdict, k is not null listed
+from c left join fit on c.page_id is not distinct from fit.page_id and c.url is not distinct from fit.url
+left join listed on k = own
 """
