@@ -2,6 +2,7 @@
 ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -329,14 +330,67 @@ def test_classifier_on_odd_rows(spark, odd):
     assert quality_classifier.score(odd.limit(0), none).count() == 0
 
 
+def test_labels_that_disagree(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad bad"), (3, "both ways"), (1, "another text")], "doc_id long, text string")
+    both = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (1, 1)], "doc_id long, quality int")
+    one = spark.createDataFrame([(2, 0), (1, 1)], "doc_id long, quality int")
+    assert (quality_classifier.fit(docs, both) == quality_classifier.fit(docs.where("doc_id < 3"), one)).all()
+
+
+def plain_ftrl(rows, bits, epochs=3, seed=11):
+    """FTRL-Proximal coordinate by coordinate, over dicts; then the score of every row as a sum of products."""
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= 0.02 else -(z[i] - np.sign(z[i]) * 0.02) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.1)
+    ones = sum(y for _, _, y in rows)
+    order = np.random.default_rng(seed).permutation(len(rows))
+    rng = np.random.default_rng(seed)
+    rng.permutation(len(rows))
+    for _ in range(epochs):
+        for k in rng.permutation(order):
+            at, x, y = rows[k]
+            pairs = [*zip(at.tolist(), x.tolist()), (1 << bits, 1.0)]
+            margin = sum(weight(i) * v for i, v in pairs)
+            share = len(rows) / (2 * (ones if y else len(rows) - ones))
+            step = {i: (1 / (1 + np.exp(-margin)) - y) * v * share for i, v in pairs}
+            old = {i: weight(i) for i in step}
+            for i, g in step.items():
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.5 * old[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_and_scores_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    bits = 10
+    texts = [" ".join(rng.choice(["a", "Bb", "cc!", "d1", "e", "ff"] if k % 2 else ["a", "x", "yy", "z9", "q"], int(rng.integers(0, 30)))) for k in range(40)]
+    rows = [(*quality_classifier.unique_features(t.encode(), bits), float(k % 2)) for k, t in enumerate(texts)]
+    got, want = quality_classifier.train(rows, bits), plain_ftrl(rows, bits)
+    assert np.allclose(got, [want.get(i, 0.0) for i in range(len(got))], atol=1e-5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.score(df, got, bits).collect()}
+    for k, (at, x, _) in enumerate(rows):
+        margin = want.get(1 << bits, 0.0) + sum(want.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist()))
+        assert abs(scores[k] - 1 / (1 + np.exp(-margin))) < 1e-5
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(k, 1.0, f"w{k} v{k} u{k}".encode()) for k in range(50)]
+    df = spark.createDataFrame(rows, "h long, y double, t binary")
+    each = len(quality_classifier.unique_features(rows[0][2], 12)[0])
+    got = quality_classifier.training_rows(df, 12, 10 * each + 5)
+    assert 8 <= len(got) <= 12 and sum(len(at) for at, _, _ in got) <= 10 * each + 5 and quality_classifier.training_rows(df.limit(0), 12) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + PROSE * 20
-    pages = [(1, "http://a/\nx", big, "d"), (2, None, big, "d"), (3, "u", None, "d"), (4, "u", "", "d"), (5, "u", "short", "d"), (6, "u", "short", "d"), (7, "u", "é" * 500, "d"), (8, "u", "é" * 500, "d"), (8, "u", "é" * 500, "d"), (None, "u", big, "d")]
+    pages = [(1, "http://a/\nx", big, "d"), (2, None, big, "d"), (3, "u", None, "d"), (4, "u", "", "d"), (5, "u", "short", "d"), (6, "u", "short", "d"), (7, "u", "é" * 500, "d"), (8, "u", "é" * 500, "d"), (8, "u", "é" * 500, "d"), (8, "u", "other", "d"), (9, "u", "x" * 3_000_000, "d"), (None, "u", big, "d")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string")
     manifest = warc.archive(df, f"file://{tmp_path}/w")
     rows = warc.read_archives(manifest).collect()
     assert len(rows) == len(pages) == manifest.agg(F.sum("records")).first()[0]
-    kinds = {(r["record_id"], r["record_type"], r["refers"]) for r in rows}
+    name = lambda u: u and u.rpartition(":")[0] + ">"
+    kinds = {(name(r["record_id"]), r["record_type"], name(r["refers"])) for r in rows}
+    assert {r["refers"] for r in rows} - {None} <= {r["record_id"] for r in rows if r["record_type"] == "response"}
     assert ("<urn:page:1>", "revisit", "<urn:page:2>") in kinds and ("<urn:page:2>", "response", None) in kinds
     assert ("<urn:page:7>", "revisit", "<urn:page:8>") in kinds and ("<urn:page:5>", "response", None) in kinds
     for r in rows:
@@ -355,6 +409,8 @@ def test_archives_start_with_the_dictionary(tmp_path, spark):
     size = int.from_bytes(data[4:8], "little")
     plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompressobj().decompress(data[8 + size :])
     assert plain.startswith(b"WARC/1.1\r\n")
+    # Trained on records as they are archived: their headers are in it.
+    assert b"WARC-Target-URI: u" in data[8 : 8 + size]
 
 
 def test_licences(spark):
@@ -384,6 +440,36 @@ def test_licence_notices_as_published(spark):
     assert all(licences.ALL_RULES[r["doc_id"]][0] in r["licences"] for r in licences.scan(old).collect())
 
 
+def brute_licences(text):
+    """Sentences one after another, looked up; each rule takes its sentences by index, from the left."""
+    found = set()
+    for way in (text, re.sub(r"[\n\r]+", ". ", text)):
+        ids = [licences.KNOWN.get(s, licences.UNKNOWN) for s in licences.cut(way)]
+        for name, rule in licences.ALL_RULES:
+            at = 0
+            while at <= len(ids) - len(rule):
+                if tuple(ids[at : at + len(rule)]) == rule:
+                    ids[at : at + len(rule)] = [None]
+                    found.add(name)
+                at += 1
+    return sorted(found)
+
+
+def test_licences_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    known = list(licences.KNOWN)
+    bsd = [s for s, i in licences.KNOWN.items() if i.startswith("bsd-")]
+    texts = [". ".join(bsd) + ". " + ". ".join(bsd) + ".", ".\n".join(bsd * 3) + ".", ". ".join(bsd[:3] + bsd) + "."]
+    texts += [". ".join([*rng.choice(known, int(rng.integers(1, 9))), *rng.choice([*bsd, "some odd license text"], int(rng.integers(0, 7)))]) + "." for _ in range(150)]
+    for name, rule in licences.ALL_RULES:  # each rule twice in a row, and in the middle of a very long text
+        one = ". ".join(next(s for s, i in licences.KNOWN.items() if i == k) for k in rule) + ". "
+        texts += [one * 2, PROSE * 50 + " . " + one + PROSE]
+    texts += ["word " * 200_000 + texts[0], texts[0] * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(df).collect()}
+    assert got == {k: brute_licences(t) for k, t in enumerate(texts)} and got[0] == got[1] == ["BSD-3-Clause"] and got[2] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [float(p), float(1 - p)], int(rng.integers(10, 500))) for k, p in enumerate(rng.choice([0.02, 0.9, 0.98], 400))]
@@ -416,6 +502,49 @@ def test_mixing_on_odd_rows(odd):
     assert mixing.mix(odd.withColumn("lang", F.lit(None).cast("string")))[1] == ["other"]
 
 
+def test_mixing_by_brute_force(spark):
+    """The query's numbers, one document at a time: tokens, posterior of the fitted weights, rates by one pull, totals on target."""
+    rng = np.random.default_rng(14)
+    vocabulary = {"en": "the and of to in", "de": "der und die das ist", "fr": "le la et les des"}
+    rows = []
+    for k in range(240):
+        lang = ["en", "en", "de", "fr"][k % 4]
+        rows.append((k, " ".join(rng.choice((vocabulary[lang] + " x y z").split(), int(rng.integers(5, 60)))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    weights = {"en": 6.0, "de": 1.0, "fr": 3.0}
+    mixed, names = mixing.mix(docs, weights=weights)
+    got = {r["doc_id"]: r for r in mixed.collect()}
+    model = mixing.train_posterior(docs, "lang", "doc_id", "text")
+    for k, text, _ in rows:
+        at, x = mixing.features(text.encode(), mixing.BITS, shapes=False)
+        z = [float(w[-1]) + sum(float(w[i]) * float(v) for i, v in zip(at, x)) for w in model.weights]
+        p = [np.exp(v - max(z)) / sum(np.exp(u - max(z)) for u in z) for v in z]
+        assert got[k]["tokens"] == len(text.split()) and np.allclose(got[k]["p"], p, atol=1e-5)
+    totals = [sum(r["tokens"] * r["p"][d] for r in got.values()) for d in range(3)]
+    top = max(totals)
+    whole = sum(top * (t / top) ** mixing.TEMPERATURE for t in totals)
+    for d, name in enumerate(names):
+        reached = sum(r["rate"] * r["tokens"] * r["p"][d] for r in got.values())
+        assert abs(reached / (whole * weights[name] / 10.0) - 1) <= mixing.TOLERANCE
+    # max(0, 1 + p . x): all rates above zero are one affine function of the posteriors, the others lie below it.
+    live = [r for r in got.values() if r["rate"] > 1e-9]
+    x = np.linalg.lstsq(np.array([r["p"] for r in live]), np.array([r["rate"] - 1 for r in live]), rcond=None)[0]
+    assert all(abs(r["rate"] - max(0.0, 1 + float(np.dot(r["p"], x)))) < 1e-6 for r in got.values())
+
+
+def test_sums_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 90)), rng.dirichlet([1, 1, 1]).tolist()) for _ in range(50)]
+    pull = np.array([-3.0, 0.5, 1.5])
+    square, got, curvature = mixing._sums(spark.createDataFrame(rows, "tokens long, p array<double>"), pull)
+    rates = [max(0.0, 1 + sum(a * b for a, b in zip(p, pull))) for _, p in rows]
+    assert np.isclose(square, sum(t * r * r for (t, _), r in zip(rows, rates))) and min(rates) == 0
+    for i in range(3):
+        assert np.isclose(got[i], sum(t * r * p[i] for (t, p), r in zip(rows, rates)))
+        for j in range(3):
+            assert np.isclose(curvature[i, j], sum(t * p[i] * p[j] for (t, p), r in zip(rows, rates) if r > 0))
+
+
 def test_images(spark):
     rng = np.random.default_rng(1)
     vectors = [(k, rng.normal(size=64).astype(float).tolist()) for k in range(30)]
@@ -434,10 +563,81 @@ def test_images(spark):
 def test_images_of_a_frequent_key(spark, monkeypatch):
     monkeypatch.setattr(image_copies, "BLOCK", 16)
     rng = np.random.default_rng(6)
-    rows = [(int(i), int(g), int(t), int(k)) for g, (i, t, k) in enumerate(zip(rng.integers(0, 300, 700), rng.integers(0, 2, 700), rng.integers(0, 3, 700) ** 3))]
-    rows += [(int(i), 1000 + n, 3, int(k)) for n, (i, k) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(0, 60, 200)))]
-    got = sorted(tuple(r) for r in image_copies.meetings(spark.createDataFrame(rows, "id long, g long, t int, key long")).select("a", "b", "ga", "gb").collect())
-    assert got == sorted((p[0], q[0], p[1], q[1]) for p in rows for q in rows if p[0] < q[0] and p[2:] == q[2:])
+    rows = [(int(i), int(g), int(t * 100 + k)) for g, (i, t, k) in enumerate(zip(rng.integers(0, 300, 700), rng.integers(0, 2, 700), rng.integers(0, 3, 700) ** 3))]
+    rows += [(int(i), 1000 + n, int(300 + k)) for n, (i, k) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(0, 60, 200)))]
+    got = sorted(tuple(r) for r in image_copies.meetings(spark.createDataFrame(rows, "id long, g long, key long")).select("a", "b", "ga", "gb").collect())
+    assert got == sorted((p[0], q[0], p[1], q[1]) for p in rows for q in rows if p[0] < q[0] and p[2] == q[2])
+
+
+def brute_image_links(pictures, votes=image_copies.VOTES):
+    """Every two pictures, every two of their corners: which agree on one turn, scale and shift."""
+    corners = {}
+    for k, p in pictures.items():
+        h, w = p.shape
+        corners[k] = [(int(y[i]) - h // 2, int(x[i]) - w // 2, int(t[i]), int(s[i]), words[i].tolist()) for y, x, t, s, words in image_copies.describe(p) for i in range(len(y))]
+    links = set()
+    cell, turns, wide = image_copies.CELL, image_copies.TURNS, image_copies.TURN_CELL
+    for i in corners:
+        for j in corners:
+            if i == j:
+                continue
+            cells = {}
+            for n, (ya, xa, ta, sa, wa) in enumerate(corners[i]):
+                for yb, xb, tb, sb, wb in corners[j]:
+                    if not any(p == q for p, q in zip(wa, wb)):
+                        continue
+                    t = (tb - ta) % turns
+                    f, c, s = 2.0 ** (sb - sa), np.cos(t * (2 * np.pi / turns)), np.sin(t * (2 * np.pi / turns))
+                    dx, dy = xb - f * (c * xa - s * ya), yb - f * (s * xa + c * ya)
+                    for g in range(8):
+                        key = (g, sb - sa, np.floor(dx / cell + (g & 1) / 2), np.floor(dy / cell + (g >> 1 & 1) / 2), np.floor(t / wide + (g >> 2) / 2) % (turns // wide))
+                        cells.setdefault(key, set()).add(n)
+            if any(len(v) >= votes for v in cells.values()):
+                links.add((i, j))
+    return links
+
+
+def test_images_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pictures = {}
+    for k in range(7):
+        p = image_copies.render(rng.normal(size=64))
+        y, x = rng.integers(0, 40, 2)
+        pictures |= {10 * k: p, 10 * k + 1: np.ascontiguousarray(p[y : y + 56, x : x + 56]), 10 * k + 2: image_copies.edited(p, int(rng.integers(0, 999)))}
+    links = brute_image_links(pictures)
+    rows = [(k, p.shape[1], p.shape[0], p.tobytes()) for k, p in pictures.items()]
+    got = image_copies.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()
+    # The operator counts corners of the image whose hash is smaller, so that links are those of one of the two directions.
+    either, both = {frozenset(p) for p in links}, {frozenset((i, j)) for i, j in links if (j, i) in links}
+    degree = {r["image_id"]: r["n_links"] for r in got}
+    assert all(sum(k in p for p in both) <= degree[k] <= sum(k in p for p in either) for k in pictures)
+    assert len({r["component_id"] for r in got}) == 7 and {r["component_id"] for r in got} == set(range(0, 70, 10))
+
+
+@pytest.mark.parametrize("share", ["half", "quarter"])
+def test_images_recall_of_crops(spark, share):
+    """Crops to half and to a quarter of the area, brightened or not: at least nine of ten find their original."""
+    rng = np.random.default_rng(17)
+    side = {"half": 68, "quarter": 48}[share]
+    rows = []
+    for k in range(60):
+        p = image_copies.render(rng.normal(size=64))
+        y, x = rng.integers(0, 96 - side + 1, 2)
+        crop = p[y : y + side, x : x + side]
+        if k % 2:
+            crop = np.clip(crop * 0.87 + 11, 0, 255).astype(np.uint8)
+        rows += [(2 * k, 96, 96, p.tobytes()), (2 * k + 1, side, side, crop.tobytes())]
+    got = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(60)) >= 54 and all(got[2 * k] == 2 * k for k in range(60))
+
+
+def test_images_of_one_id_and_without_id(spark):
+    rng = np.random.default_rng(4)
+    p, q = (image_copies.render(rng.normal(size=64)) for _ in range(2))
+    rows = [(1, p), (1, q), (2, p[:70]), (3, q[:70]), (None, p[10:80, 5:90])]
+    df = spark.createDataFrame([(k, v.shape[1], v.shape[0], np.ascontiguousarray(v).tobytes()) for k, v in rows], "image_id long, width int, height int, pixels binary")
+    got = sorted((r["image_id"] or 0, r["component_id"], r["n_links"]) for r in image_copies.copies(df).collect())
+    assert got == [(0, 1, 2), (1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 1)]
 
 
 def test_images_with_many_copies(spark):
@@ -447,6 +647,58 @@ def test_images_with_many_copies(spark):
     assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 39)}
 
 
+def test_stages_by_brute_force(spark, sf_dir):
+    """Every stage on a small set with nulls, repeated and clashing rows and extra columns, against plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    odd = [(None, base[0][1], "en", None, None), (None, "alone " * 30, None, "s", 5), base[1], (base[2][0], base[3][1], None, "s", 1), (None, None, None, None, None), (9001, "", "de", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    docs = spark.createDataFrame([(*r, "x") for r in base + odd], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    mine = [tuple(r[:5]) for r in docs.collect()]
+
+    weights = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    def passes(text):
+        at, x = quality_classifier.unique_features((text or "").encode(), quality_classifier.BITS)
+        return sum(float(weights[i]) * float(v) for i, v in zip(at, x)) + float(weights[-1])
+    kept = plain(stages["quality classifier"](spark, docs, sf_dir))
+    sure = [r for r in mine if passes(r[1]) > 1e-4]
+    assert set(sure) <= set(kept) and len(kept) <= len([r for r in mine if passes(r[1]) > -1e-4])
+
+    prints = {t: simhash.fingerprint((t or "").encode()) for _, t, *_ in mine}
+    group = brute_components({k: prints[r[1]] for k, r in enumerate(mine)}, 4)
+    h = {(r["doc_id"], r["text"]): r["h"] for r in docs.withColumn("h", simhash.text_hash("text")).collect()}
+    first = {}
+    for k, r in enumerate(mine):
+        rank = (r[0] is None, r[0] or 0, h[r[0], r[1]])
+        if group[k] not in first or rank < first[group[k]][0]:
+            first[group[k]] = (rank, (r[0], r[1]))
+    got = stages["near-duplicates"](spark, docs, sf_dir).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted((r for _, r in first.values()), key=repr)
+
+    got = plain(stages["repeated passages"](spark, docs, sf_dir).select("doc_id", F.octet_length("text")))
+    order = sorted({(r[0], r[1] or "") for r in mine}, key=lambda r: (r[0] is not None, r[0] or 0, by_bytes(docs)[r]))
+    want = {k: v for k, v in zip(order, brute_removed([t.encode() for _, t in order], 100))}
+    assert got == sorted(((r[0], want[r[0], r[1] or ""][0] - want[r[0], r[1] or ""][1]) for r in mine), key=repr)
+
+    mixed = stages["mixing"](spark, docs, sf_dir).collect()
+    assert {tuple(r) for r in mixed} == set(mine) and len(mixed) >= len(mine)
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    pieces = stages["packing"](spark, docs, sf_dir).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in mine)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def by_bytes(docs):
+    h = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("h"))
+    return {(r["doc_id"], r["t"]): r["h"] for r in h.collect()}
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     import corpus_pipeline
 
