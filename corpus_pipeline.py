@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.
+
+Defined results, beyond those of the operators: a null or empty text is scored,
+fingerprinted, mixed and packed as an empty one and stays null or becomes empty;
+documents without an id are kept like others; rows that repeat an id and a text
+count as copies of each other, rows that share an id only do not; null ``lang``,
+``source`` and ``n_chars`` pass through; extra columns are dropped; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import mixing, packing, quality_classifier, repeats, simhash
-from quern.llm.common import stash, table
+from quern.llm.common import discard_all_but, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source", "n_chars")
@@ -24,10 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate group; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate group, that with the smallest id; see ``simhash.one_of_each``."""
+    return simhash.one_of_each(docs).select(*COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
