@@ -37,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,13 +308,24 @@ def merged(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows as compressed planes of bytes, which are mostly zeros or alike."""
+    planes = np.frombuffer(rows.tobytes(), dtype=np.uint8).reshape(-1, rows.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(dtype.itemsize, -1)
+    return np.frombuffer(planes.T.tobytes(), dtype=dtype)
+
+
 def _blobs(rows: np.ndarray, key: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
     bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cut = np.nonzero(np.diff(bucket))[0] + 1
     head = np.concatenate([[0], cut]) if len(rows) else cut
-    blobs = [x.tobytes() for x in np.split(rows, cut)] if len(rows) else []
+    blobs = [_packed(x) for x in np.split(rows, cut)] if len(rows) else []
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[head], pa.int64()), pa.array(np.full(len(head), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "rows"]
     )
@@ -375,9 +387,9 @@ def _meet(batches):
     for b in batches:
         for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if kind == _DONE:
-                yield from _rows_out(np.frombuffer(blob, dtype=WINDOWS), False)
+                yield from _rows_out(_unpacked(blob, WINDOWS), False)
             else:
-                (plain if kind == _PLAIN else hot).append(np.frombuffer(blob, dtype=PLAIN if kind == _PLAIN else STRETCH))
+                (plain if kind == _PLAIN else hot).append(_unpacked(blob, PLAIN if kind == _PLAIN else STRETCH))
     for blobs in (plain, hot):
         if not blobs:
             continue
@@ -433,8 +445,8 @@ def _cut_out(length: int, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([bucket[c[0]] for c in cut], pa.int64()),
-                    pa.array([slim[c].tobytes() for c in cut], pa.binary()),
-                    pa.array([b"".join([texts[k] for k in c]) for c in cut], pa.binary()),
+                    pa.array([_packed(slim[c]) for c in cut], pa.binary()),
+                    pa.array([zstandard.compress(b"".join([texts[k] for k in c]), 1) for c in cut], pa.binary()),
                 ],
                 names=["bucket", "rows", "bytes"],
             )
@@ -446,11 +458,11 @@ def _compare(length: int):
     def run(batches):
         heads, data = [], []
         for b in batches:
-            heads += b.column(1).to_pylist()
-            data += b.column(2).to_pylist()
+            heads += [_unpacked(r, PLAIN) for r in b.column(1).to_pylist()]
+            data += [zstandard.decompress(x) for x in b.column(2).to_pylist()]
         if not heads:
             return
-        slim, bytes_ = np.frombuffer(b"".join(heads), dtype=PLAIN), np.frombuffer(b"".join(data), dtype=np.uint8)
+        slim, bytes_ = np.concatenate(heads), np.frombuffer(b"".join(data), dtype=np.uint8)
         del heads, data
         rows = np.zeros(len(slim), dtype=STRETCH)
         for c in PLAIN.names:
