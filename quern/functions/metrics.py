@@ -26,13 +26,21 @@ def spectral(df: DataFrame, vector: str, width: int) -> DataFrame:
     The width x width matrix of products is one distributed sum; only that leaves the executors.
     """
     import numpy as np
-
-    x = F.col(vector)
-    sums = df.agg(*[F.sum(x[i].cast("double") * x[j].cast("double")).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]).first()
-    g = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i, width):
-            g[i, j] = g[j, i] = sums[f"g{i}_{j}"] or 0.0
+    import pyarrow as pa
+
+    def products(batches):
+        g = np.zeros((width, width))
+        for b in batches:
+            x = b.column(0).flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], names=["place", "x"])
+
+    rows = df.select(F.col(vector).alias("v")).where(F.size("v") == width)
+    got = rows.mapInArrow(products, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()
+    g = np.zeros(width * width)
+    for r in got:
+        g[r["place"]] = r["x"]
+    g = g.reshape(width, width)
     s = np.sqrt(np.maximum(np.linalg.eigvalsh(g), 0))
     total = float((s**2).sum())
     p = s[s > 0] / s.sum() if s.sum() else np.ones(1)
@@ -46,6 +54,7 @@ def layer_of(name: Column) -> Column:
 
 
 def family_of(name: Column) -> Column:
+    # Parts of parameter names and what they belong to.
     return F.when(name.contains("attn"), "attention").when(name.contains("mlp"), "mlp").when(name.contains("lm_head"), "lm_head").when(name.contains("embed"), "embedding").otherwise("other")
 
 
@@ -72,12 +81,37 @@ def f1_scores(df: DataFrame, guess: str, truth: str) -> DataFrame:
     return both.select("class", (2 * F.col("hit") / F.greatest(F.col("guessed") + F.col("there"), F.lit(1))).alias("f1"))
 
 
+def macro_f1(df: DataFrame, guess: str, truth: str) -> DataFrame:
+    """Mean of the classes' scores."""
+    return f1_scores(df, guess, truth).agg(F.avg("f1").alias("macro_f1"))
+
+
 def cross_entropy(p_true: Column, valid: Column) -> Column:
     return F.avg(F.when(valid, -F.ln(p_true)))
 
 
-def focal(p_true: Column, valid: Column, gamma: float = 2.0) -> Column:
-    return F.avg(F.when(valid, -F.pow(1 - p_true, F.lit(gamma)) * F.ln(p_true)))
+def focal(p_true: Column, valid: Column, gamma: float = 2.0, alpha: float = 1.0) -> Column:
+    return F.avg(F.when(valid, -alpha * F.pow(1 - p_true, F.lit(gamma)) * F.ln(p_true)))
+
+
+def binary_cross_entropy(logit: Column, label: Column, valid: Column, positive: float = 1.0) -> Column:
+    """Mean over valid rows, from logits: ``positive`` weighs the rows of label 1.  Large logits of either sign are safe."""
+    softplus = lambda z: F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+    y = label.cast("double")
+    return F.avg(F.when(valid, positive * y * softplus(-logit) + (1 - y) * softplus(logit)))
+
+
+def _known(label: Column) -> Column:
+    return label.isNotNull() & ~F.isnan(label.cast("double"))
+
+
+def squared_error(guess: Column, label: Column) -> Column:
+    """Mean over the rows that have a label; zero if none has."""
+    return F.coalesce(F.avg(F.when(_known(label), (guess - label) * (guess - label))), F.lit(0.0))
+
+
+def absolute_error(guess: Column, label: Column) -> Column:
+    return F.coalesce(F.avg(F.when(_known(label), F.abs(guess - label))), F.lit(0.0))
 
 
 def entropy(probabilities: Column) -> Column:
@@ -126,8 +160,40 @@ def penalised(logit: Column, seen: Column, penalty: float) -> Column:
     return F.when(~seen, logit).when(logit < 0, logit * penalty).otherwise(logit / penalty)
 
 
+def banned_next(ids: Column, n: int) -> Column:
+    """Tokens that would end an n-gram which the sequence has already: those that followed its last n - 1 ids before."""
+    if n < 1:
+        raise ValueError("an n-gram has at least one token")
+    last = F.slice(ids, F.greatest(F.size(ids) - n + 2, F.lit(1)), F.lit(n - 1))
+    starts = F.sequence(F.lit(1), F.size(ids) - n + 1)
+    same = F.filter(starts, lambda k: F.slice(ids, k, F.lit(n - 1)) == last)
+    found = F.array_sort(F.array_distinct(F.transform(same, lambda k: F.element_at(ids, k + n - 1))))
+    return F.when(F.size(ids) >= n, found).otherwise(F.slice(ids, 1, 0))
+
+
+def chunk_report(tokens: DataFrame, by: str, index: str, hit: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Accuracy of each chunk of ``size`` tokens, and per ``by`` the mean, best and worst chunk (the first of equals)."""
+    chunks = tokens.groupBy(by, F.floor(F.col(index) / size).cast("long").alias("chunk")).agg(F.avg(F.col(hit).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    report = chunks.groupBy(by).agg(
+        F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.avg("accuracy").alias("mean_accuracy"),
+        F.max_by("chunk", F.struct("accuracy", -F.col("chunk"))).alias("best"), F.min_by("chunk", F.struct("accuracy", "chunk")).alias("worst"),
+    )
+    return chunks, report
+
+
+def resumed_checkpoint(found: DataFrame, version: int | None = None, at_least: int | None = None) -> DataFrame:
+    """One row or none of (version, step, name): the last step of the version (the latest without one), or the closest step
+    from ``at_least`` on; where no step is that large, the smallest there is."""
+    rows = found.where("version is not null and step is not null")
+    own = rows.where(F.col("version") == version) if version is not None else rows.join(rows.agg(F.max("version").alias("version")), "version")
+    if at_least is None:
+        return own.orderBy(F.desc("step"), "name").limit(1).select("version", "step", "name")
+    return own.orderBy(F.col("step") < at_least, "step", "name").limit(1).select("version", "step", "name")
+
+
 def size_text(n: Column) -> Column:
     """A number of bytes in words, by 1024."""
+    # Units in rising order.
     out = F.format_string("%.2f PB", n / F.lit(1024.0**5))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
         out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", n / F.lit(1024.0**k))).otherwise(out)

@@ -74,5 +74,23 @@ def recurrence_mask(rows: DataFrame, index: str, flag: str, size: int) -> DataFr
     return g.select("batch", F.when(F.col("some"), F.transform("r", lambda x: x["f"])).alias("recurrence_mask"))
 
 
+def unpadded_with(ids: Column, mask: Column, **more: Column) -> Column:
+    """struct of the ids outside the mask and of every array in ``more`` at the same places."""
+    places = F.filter(F.transform(mask, lambda m, i: F.when(~m, i)), lambda i: i.isNotNull())
+    at = lambda c: F.transform(places, lambda i: F.get(c, i))
+    return F.struct(at(ids).alias("ids"), *[at(c).alias(name) for name, c in more.items()])
+
+
+def any_finished(rows: DataFrame, index: str, flag: str, size: int) -> DataFrame:
+    """Per batch whether any of its workers has finished."""
+    return rows.groupBy(batch_of(F.col(index), size).alias("batch")).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias("worker_has_finished"))
+
+
+def rank_states(states: DataFrame, world: int) -> tuple[DataFrame, int]:
+    """The last state of every rank below ``world``, and the number of ranks that were saved (it may differ)."""
+    last = states.groupBy("rank").agg(F.max_by(F.struct(*[c for c in states.columns if c != "rank"]), "saved_at").alias("s")).select("rank", "s.*")
+    return last.where(F.col("rank") < world), last.count()
+
+
 def steps_per_epoch(n: Column, size: int, accumulate: int = 1, nodes: int = 1) -> Column:
     return F.floor(F.floor(F.ceil(n / size) / accumulate) / nodes).cast("long")

@@ -6,9 +6,13 @@ packing works with ``chunk_size - 2``.  Ends are exclusive everywhere.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 
 def sentences(text: Column) -> Column:
@@ -20,10 +24,24 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _sums_before(rows: pa.Array) -> pa.Array:
+    n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = rows.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(flat)])
+    out = total[:-1] - np.repeat(total[ends[:-1]], n)
+    mask = pa.array(~np.array(rows.is_valid())) if rows.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=mask)
+
+
 def prefix_sums(sizes: Column) -> Column:
-    """Sums before each element; linear, as the array grows in one fold."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    """Sums before each element, an Arrow batch at a time: a fold would copy its array at each step."""
+    return _sums_before(sizes)
+
+
+# So that no filter over what is made of the sums is moved below them, where it could not be evaluated.
+_sums_before = _sums_before.asNondeterministic()
 
 
 def spans(sizes: Column) -> Column:
@@ -95,33 +113,89 @@ def fold_equal_parts(sizes: list[int], limit: int) -> list[int]:
     return [*done, held] if held else done
 
 
-FOLDS = {"sentences": fold_sentences, "equal_parts": fold_equal_parts}
+FOLDS: dict[str, Callable[[list[int], int], list[int]]] = {"sentences": fold_sentences, "equal_parts": fold_equal_parts}
 
 
 def folded(docs: DataFrame, sizes: str, limit: int, strategy: str, name: str = "chunks") -> DataFrame:
     """Chunk sizes by one of the folds that carry state over sentences: linear, an Arrow batch at a time."""
     fold = FOLDS[strategy]
 
-    @F.pandas_udf("array<int>")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: fold([int(x) for x in r] if r is not None else [], limit))
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([fold(r or [], limit) for r in rows.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(name, run(F.col(sizes)))
 
 
-def sentence_spans_to_tokens(offsets: list[int], ends: list[int], n_tokens: int) -> list[tuple[int, int]]:
-    """Token spans of sentences: a token belongs to the sentence its first character is in."""
-    out, at = [], 0
-    for k, end in enumerate(ends):
-        stop = at
-        while stop < n_tokens and offsets[stop] < end:
-            stop += 1
-        if k == len(ends) - 1:
-            stop = n_tokens
-        if stop > at:
-            out.append((at, stop))
-        at = stop
-    return out
+def sentence_ends(text: Column) -> Column:
+    """Places (exclusive, in characters) where sentences end; the last one is the length of the text."""
+    lens = F.transform(sentences(text), lambda s: F.length(s))
+    return F.zip_with(prefix_sums(lens), lens, lambda a, n: a + n)
+
+
+def token_sentences(starts: np.ndarray, ends: np.ndarray, sentence_ends: np.ndarray) -> np.ndarray:
+    """Where the tokens of each sentence begin: with the last token that starts at or before it; from there to the next."""
+    if not len(starts) or not len(sentence_ends):
+        return np.zeros(0, dtype=np.int64)
+    begins = np.concatenate([[0], sentence_ends[:-1]])
+    return np.maximum(np.searchsorted(starts, begins, side="right") - 1, 0)
+
+
+def aligned_chunks(starts: np.ndarray, ends: np.ndarray, sentence_ends: np.ndarray, limit: int) -> list[int]:
+    """Chunk sizes in tokens: sentences by offsets, cut to ``limit``, neighbours joined while they fit."""
+    first = token_sentences(starts, ends, sentence_ends)
+    sizes = np.diff(np.append(first, len(starts))).tolist()
+    out, held = [], 0
+    for n in sizes:
+        full, rest = divmod(n, limit)
+        for piece in [limit] * full + ([rest] if rest else []):
+            if held and held + piece > limit:
+                out.append(held)
+                held = 0
+            held += piece
+    return [*out, held] if held else out
+
+
+def small_chunks(starts: np.ndarray, ends: np.ndarray, sentence_ends: np.ndarray, limit: int) -> list[int]:
+    """Chunk sizes by the carried-tail rule: a token belongs to the first sentence that ends after its start; what starts
+    after the last sentence is dropped."""
+    edges = np.searchsorted(starts, sentence_ends, side="left")
+    out, held = [], 0
+    for n in np.diff(np.concatenate([[0], np.maximum.accumulate(edges)])).tolist():
+        if n > limit:
+            if held:
+                out.append(held)
+            full, held = divmod(n, limit)
+            out += [limit] * full
+        elif held + n > limit:
+            out.append(held)
+            held = n
+        else:
+            held += n
+    return [*out, held] if held else out
+
+
+OFFSET_SPLITTERS = {"aligned": aligned_chunks, "small": small_chunks}
+
+
+def tokenised_chunks(docs: DataFrame, path: str, limit: int, splitter: str = "aligned", text: str = "text") -> DataFrame:
+    """``docs`` with ``tokens`` (ids of a tokenizer file) and ``sizes``, their chunks at sentence bounds.
+
+    A text is tokenised once, as a whole; sentences are found in its tokens by their offsets.
+    """
+    from .tokenise import encoded_with_offsets
+
+    rule = OFFSET_SPLITTERS[splitter]
+
+    @F.arrow_udf("array<int>")
+    def sizes(starts: pa.Array, ends: pa.Array, stops: pa.Array) -> pa.Array:
+        rows = zip(starts.to_pylist(), ends.to_pylist(), stops.to_pylist())
+        return pa.array([rule(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c or [], dtype=np.int64), limit) for a, b, c in rows], pa.list_(pa.int32()))
+
+    rows = encoded_with_offsets(docs, path, text, "_e").withColumn("_s", sentence_ends(F.col(text)))
+    found = rows.select(*docs.columns, F.col("_e.ids").alias("tokens"), sizes("_e.starts", "_e.ends", "_s").alias("sizes"))
+    total = F.aggregate("sizes", F.lit(0), lambda a, n: a + n)
+    return found.withColumn("tokens", F.slice("tokens", F.lit(1), total))  # what the rule dropped goes
 
 
 def entropy_cuts(h: Column, smoothing: float = 0.0) -> Column:
@@ -131,9 +205,8 @@ def entropy_cuts(h: Column, smoothing: float = 0.0) -> Column:
 
 def entropy_groups(h: Column, smoothing: float = 0.0) -> Column:
     """Number of the patch each place belongs to."""
-    start = F.struct(F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, c: F.struct((a["g"] + c.cast("int")).alias("g"), F.array_append(a["out"], a["g"] + c.cast("int")).alias("out"))
-    return F.aggregate(entropy_cuts(h, smoothing), start, step, lambda a: a["out"])
+    cuts = F.transform(entropy_cuts(h, smoothing), lambda c: c.cast("int"))
+    return F.zip_with(prefix_sums(cuts), cuts, lambda a, c: (a + c).cast("int"))
 
 
 def entropy_spans(h: Column, smoothing: float = 0.0) -> Column:
@@ -143,6 +216,27 @@ def entropy_spans(h: Column, smoothing: float = 0.0) -> Column:
     return F.when(F.size(h) > 0, contiguous(starts, F.size(h)))
 
 
+def entropy_spans_closed(h: Column, smoothing: float = 0.0) -> Column:
+    """An older rule: a patch ends with the place of the rise, and what follows the last rise is in none."""
+    rises = F.filter(F.transform(entropy_cuts(h, smoothing), lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
+    begins = F.concat(F.array(F.lit(0)), F.slice(rises, F.lit(1), F.greatest(F.size(rises) - 1, F.lit(0))))
+    return F.zip_with(F.slice(begins, F.lit(1), F.size(rises)), rises, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def word_cuts(text: Column, doc: Column, seed: int = 0, longest: int = 27, share: float = 0.3) -> Column:
+    """A stand-in for cuts by entropy: words, with the blanks before them, cut before any that would make a patch longer
+    than ``longest`` characters, else with probability ``share``; by a hash, so that the same text is cut alike."""
+    words = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), doc, i), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    rows = F.transform(words, lambda w, i: F.struct(w.alias("w"), draw(i).alias("c")))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    step = lambda a, r: F.when(
+        (a["open"] != "") & ((F.length(a["open"]) + F.length(r["w"]) > longest) | r["c"]),
+        F.struct(r["w"].alias("open"), F.array_append(a["done"], a["open"]).alias("done")),
+    ).otherwise(F.struct(F.concat(a["open"], r["w"]).alias("open"), a["done"].alias("done")))
+    return F.aggregate(rows, start, step, lambda a: F.when(a["open"] != "", F.array_append(a["done"], a["open"])).otherwise(a["done"]))
+
+
 def cut_text(text: Column, spans_: Column, hard_limit: int) -> Column:
     """Pieces of ``text`` by spans, none longer than ``hard_limit``."""
     within = lambda s: F.transform(
@@ -152,6 +246,16 @@ def cut_text(text: Column, spans_: Column, hard_limit: int) -> Column:
     return F.flatten(F.transform(F.filter(spans_, lambda s: s["end"] > s["start"]), within))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _windows(texts: pa.Array, size: pa.Array) -> pa.Array:
+    return pa.array([byte_windows(t or "", n) for t, n in zip(texts.to_pylist(), size.to_pylist())], pa.list_(pa.int32()))
+
+
+def window_ends(text: Column, size: int) -> Column:
+    """Ends of the legacy windows of each text; their number is the legacy count of byte chunks."""
+    return _windows(text, F.lit(size))
+
+
 def byte_windows(text: str, size: int, look_back: int | None = None) -> list[int]:
     """Legacy windows of ``size`` characters that end after their last blank, unless the text ends there.
 

@@ -24,6 +24,49 @@ def chunked(tokens: Column, sizes: Column, bos: int | None, eos: int | None) ->
     return F.transform(spans(sizes), lambda s: F.concat(*head, F.slice(tokens, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), *tail))
 
 
+def pretokenised(docs: DataFrame, strategy: dict, tokens: Column, sizes: Column, source: str = "source", by: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Documents of many sources tokenised in one job: (by, source, tokens, sizes) of those that fit the strategy, and
+    (by, source, failure) of the others."""
+    from .catalog import MissingDataKey, MissingSplitterOutput
+
+    wanted = strategy.get("required_databases", [])
+    missing = [c for c in wanted if c not in docs.columns]
+    if missing:
+        raise MissingDataKey(", ".join(missing))
+    returned = {"tokens": tokens, "chunks": sizes}
+    lacking = [k for k in strategy.get("returns", ["tokens", "chunks"]) if returned.get(k) is None]
+    if lacking:
+        raise MissingSplitterOutput(", ".join(lacking))
+    rows = docs.select(by, source, tokens.alias("tokens"), sizes.alias("sizes"))
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    failure = (
+        F.when(F.col("tokens").isNull() | F.col("sizes").isNull(), "no output")
+        .when(F.size("tokens") == 0, "no tokens")
+        .when(total != F.size("tokens"), "chunks do not cover the tokens")
+        .when(F.array_max("sizes") > strategy["chunk_size"], "a chunk is too large")
+    )
+    judged = rows.withColumn("failure", failure)
+    return judged.where("failure is null").drop("failure"), judged.where("failure is not null").select(by, source, "failure")
+
+
+def merged_corpora(parts: list[DataFrame], segment: int, seed: int = 27, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tokenised corpora as one in permuted order: per document its place, chunks and tokens modulo the segment; and totals,
+    mean chunks (rounded down) and sequences for multipliers 1 to 8."""
+    from functools import reduce
+
+    from .permute import Permutation
+    from .ranks import numbered
+
+    rows = [p.select(F.lit(k).alias("part"), "doc_id", F.size("sizes").alias("chunks"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens")) for k, p in enumerate(parts)]
+    every = reduce(DataFrame.unionByName, rows)
+    n = every.count() if n is None else n
+    order = every.withColumn("_k", F.col("part").cast("long") * (1 << 40) + F.col("doc_id"))
+    placed = numbered(order, "_k", [], "g", n).withColumn("pos", Permutation.draw(n).position(F.col("g")) if n else F.col("g")).withColumn("tail", F.pmod("tokens", F.lit(segment)))
+    sums = [F.coalesce(F.sum(F.ceil(F.col("chunks") / j)), F.lit(0)).cast("long").alias(f"length_{j}") for j in range(1, 9)]
+    totals = every.agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"), F.expr("sum(chunks) div greatest(count(*), 1)").alias("mean_chunks"), *sums)
+    return placed.drop("_k", "tokens"), totals
+
+
 def strategy_stats(pretok: DataFrame, source: str = "source") -> DataFrame:
     n_tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     return pretok.select(source, n_tokens.alias("t"), F.size("sizes").alias("c")).groupBy(source).agg(

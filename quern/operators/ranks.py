@@ -1,41 +1,60 @@
 """Dense numbers and running sums over an integer key, without a single-task sort.
 
 A global (or hot) window would put all rows into one task.  Here rows fall into
-equal-width buckets of the key; counts or sums per (group, bucket) are
-pre-aggregated, their prefixes are taken over that small table, and only rows of
-one bucket are ordered together.
+buckets of about ``IN_BUCKET`` rows, cut at quantiles of the key; sums per
+(group, bucket) are pre-aggregated, their prefixes are taken over that small
+table, and only rows of one bucket are ordered together.  Tables of one bucket
+need no more than a window per group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+IN_BUCKET = 250_000
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    edge = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = edge["low"] or 0, edge["high"] or 0
-    width = max(1, -(-(high - low + 1) // buckets))
-    return df.withColumn("_bucket", F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int"))
+def _bucket_of(df: DataFrame, key: str, buckets: int) -> Column:
+    """The bucket of ``key``, by quantiles of all rows."""
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    edges = sorted(set(df.agg(F.percentile_approx(key, shares, max(10_000, 4 * buckets)).alias("e")).first()["e"] or []))
 
+    @F.arrow_udf("int")
+    def bucket(keys: pa.Array) -> pa.Array:
+        filled = pc.fill_null(keys, -(2**63)).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(np.array(edges, dtype=np.int64), filled, side="right").astype(np.int32))
 
-def with_prefix(df: DataFrame, key: str, by: list[str], value: Column, name: str, buckets: int = BUCKETS, ties: list[str] | None = None) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows before, in the order of ``key`` within ``by``."""
+    return bucket(F.col(key).cast("long"))
+
+
+def with_prefixes(
+    df: DataFrame, key: str, by: list[str], values: dict[str, Column], n: int | None = None, in_bucket: int = IN_BUCKET, ties: list[str] | None = None
+) -> DataFrame:
+    """``df`` with a column per item of ``values``: its sum over the rows before, in the order of ``key`` within ``by``.
+
+    ``n`` is the number of rows, if the caller knows it.
+    """
+    n = df.count() if n is None else n
+    buckets = -(-n // in_bucket)
     order = [key, *(ties or [])]
-    b = _bucketed(df.withColumn("_value", value.cast("long")), key, buckets)
-    sums = b.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_prefix"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        b.join(prefix, [*by, "_bucket"])
-        .withColumn(name, F.col("_prefix") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_prefix", "_bucket", "_value")
-    )
-
-
-def numbered(df: DataFrame, key: str, by: list[str], name: str, buckets: int = BUCKETS, ties: list[str] | None = None) -> DataFrame:
+    before = [Window.unboundedPreceding, -1]
+    summed = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)).cast("long")
+    if buckets <= 1:
+        own = Window.partitionBy(*by).orderBy(*order).rowsBetween(*before)
+        return df.select("*", *[summed(v.cast("long"), own).alias(name) for name, v in values.items()])
+    rows = df.select("*", _bucket_of(df, key, buckets).alias("_bucket"), *[v.cast("long").alias(f"_v_{name}") for name, v in values.items()])
+    sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
+    all_before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*before)
+    prefix = sums.select(*by, "_bucket", *[summed(F.col(f"_s_{name}"), all_before).alias(f"_p_{name}") for name in values])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(*before)
+    joined = rows.join(prefix, [*by, "_bucket"])
+    return joined.select(*df.columns, *[(F.col(f"_p_{name}") + summed(F.col(f"_v_{name}"), inside)).alias(name) for name in values])
+
+
+def numbered(df: DataFrame, key: str, by: list[str], name: str, n: int | None = None, in_bucket: int = IN_BUCKET, ties: list[str] | None = None) -> DataFrame:
     """``df`` with a dense number from 0 in the order of ``key`` within ``by``."""
-    return with_prefix(df, key, by, F.lit(1), name, buckets, ties)
+    return with_prefixes(df, key, by, {name: F.lit(1)}, n, in_bucket, ties)

@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 BOS, EOS, PAD = 257, 258, 259
 
 
+def _lists(offsets: np.ndarray, values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A list array from its offsets and flat values; nulls where ``valid`` is false."""
+    mask = None if valid is None or valid.all() else pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=mask)
+
+
+def _flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from zero, and bytes of an array of strings or binaries."""
+    if pa.types.is_large_binary(strings.type) or pa.types.is_large_string(strings.type):
+        strings = strings.cast(pa.binary())
+    where = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return where - where[0], np.frombuffer(data, dtype=np.uint8)[where[0] : where[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _octets(texts: pa.Array) -> pa.Array:
+    # The bytes lie in the column already: only their width changes.
+    if not len(texts):
+        return pa.array([], pa.list_(pa.int32()))
+    offsets, data = _flat(texts)
+    return _lists(offsets, data.astype(np.int32), np.array(texts.is_valid()))
+
+
 def utf8_bytes(text: Column) -> Column:
     """The UTF-8 bytes of ``text`` as an array of ints."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("([0-9A-F]{2})"), F.lit(1))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    return _octets(text.cast("binary"))
+
+
+@F.arrow_udf(StringType())
+def _decoded(ids: pa.Array) -> pa.Array:
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), [0, *np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
+    known = (flat >= 0) & (flat < 256)
+    data = flat[known].astype(np.uint8).tobytes()
+    at = np.concatenate([[0], np.cumsum(known)])[ends]
+    ok = ids.is_valid().to_pylist()
+    return pa.array([data[i:j].decode("utf-8", "ignore") if v else None for i, j, v in zip(at[:-1].tolist(), at[1:].tolist(), ok)], pa.string())
 
 
 def byte_ids(text: Column, bos: int | None = BOS, eos: int | None = EOS) -> Column:
@@ -28,9 +63,8 @@ def byte_ids(text: Column, bos: int | None = BOS, eos: int | None = EOS) -> Colu
 
 
 def byte_text(ids: Column) -> Column:
-    """The text of byte ids: specials are dropped; bytes that are no UTF-8 become replacement characters."""
-    digits = F.transform(F.filter(ids, lambda x: x < 256), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0"))
-    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-8")
+    """The text of byte ids: specials are dropped, and so are bytes that are no UTF-8."""
+    return _decoded(ids)
 
 
 def fitted(ids: Column, length: int, pad: int = PAD) -> Column:
@@ -49,64 +83,143 @@ def word_ids(text: Column, modulus: int = 50_000, first: int = 3) -> Column:
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % modulus + first).cast("int"))
 
 
+_OPEN: dict[str, object] = {}
+
+
+def _tokenizer(path: str):
+    """A tokenizer file, opened once per Python worker."""
+    if path not in _OPEN:
+        from tokenizers import Tokenizer
+
+        _OPEN[path] = Tokenizer.from_file(path)
+    return _OPEN[path]
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "tokens", bos: int | None = None, eos: int | None = None, limit: int | None = None) -> DataFrame:
-    """``docs`` with token ids of a tokenizer file; one tokenizer per Python worker, one call per Arrow batch.
+    """``docs`` with token ids of a tokenizer file; one call per Arrow batch.
 
     Truncation comes after the special ids.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        for texts in batches:
-            got = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-            head, tail = [bos] if bos is not None else [], [eos] if eos is not None else []
-            yield pd.Series([(head + g + tail)[:limit] for g in got])
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        got = [e.ids for e in _tokenizer(path).encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        head, tail = [bos] if bos is not None else [], [eos] if eos is not None else []
+        return pa.array([(head + g + tail)[:limit] for g in got], pa.list_(pa.int32()))
 
     return docs.withColumn(name, ids(F.col(text)))
 
 
-#: Unicode ranges by name, as used in a character class.
+def encoded_with_offsets(docs: DataFrame, path: str, text: str = "text", name: str = "encoding") -> DataFrame:
+    """``docs`` with a struct of ids and of the first and last place (exclusive) of each token, in characters of the text."""
+
+    @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
+    def both(texts: pa.Array) -> pa.Array:
+        got = _tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        kind = pa.list_(pa.int32())
+        columns = [pa.array([e.ids for e in got], kind), *[pa.array([[o[k] for o in e.offsets] for e in got], kind) for k in (0, 1)]]
+        return pa.StructArray.from_arrays(columns, names=["ids", "starts", "ends"])
+
+    return docs.withColumn(name, both(F.col(text)))
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The texts of token ids, specials left out."""
+
+    @F.arrow_udf("string")
+    def text(rows: pa.Array) -> pa.Array:
+        return pa.array(_tokenizer(path).decode_batch([r or [] for r in rows.to_pylist()], skip_special_tokens=True), pa.string())
+
+    return text(ids)
+
+
+def batch_encoded(docs: DataFrame, path: str, length: int, pad: int, text: str = "text", bos: int | None = None, eos: int | None = None) -> DataFrame:
+    """``docs`` with ``ids`` cut and padded to ``length``, ``padding`` (true where padded) and ``n_ids``."""
+    rows = encoded(docs, path, text, "ids", bos, eos, length).withColumn("n_ids", F.size("ids"))
+    return rows.withColumn("ids", fitted(F.col("ids"), length, pad)).withColumn("padding", is_pad(F.col("ids"), pad))
+
+
+def batch_encoded_patches(patches: Column, width: int, rows: int, pad: int = PAD) -> Column:
+    """Texts cut into patches as a table of byte ids: struct(ids, outer, inner).
+
+    ``rows`` patches of ``width`` ids, missing ones all padding; ``outer`` is true for places of patches that are
+    missing, ``inner`` wherever an id is padding.
+    """
+    own = F.transform(F.slice(patches, 1, rows), lambda p: fitted(p, width, pad))
+    blank = F.array_repeat(F.array_repeat(F.lit(pad), width), F.lit(rows) - F.size(own))
+    ids = F.concat(own, blank)
+    return F.struct(
+        ids.alias("ids"), F.transform(ids, lambda p, k: F.transform(p, lambda _: k >= F.size(own))).alias("outer"),
+        F.transform(ids, lambda p: F.transform(p, lambda x: x == pad)).alias("inner"),
+    )
+
+
+#: Blocks of Unicode by name, first and last code point of each part.
 UNICODE_RANGES = {
-    "basic_latin": (0x0000, 0x007F),
-    "latin": (0x0000, 0x024F),
-    "ipa_extensions": (0x0250, 0x02AF),
-    "spacing_modifiers": (0x02B0, 0x02FF),
-    "combining_diacriticals": (0x0300, 0x036F),
-    "greek": (0x0370, 0x03FF),
-    "cyrillic": (0x0400, 0x04FF),
-    "armenian": (0x0530, 0x058F),
-    "hebrew": (0x0590, 0x05FF),
-    "arabic": (0x0600, 0x06FF),
-    "general_punctuation": (0x2000, 0x206F),
-    "currency_symbols": (0x20A0, 0x20CF),
-    "arrows": (0x2190, 0x21FF),
-    "math_operators": (0x2200, 0x22FF),
-    "hiragana": (0x3040, 0x309F),
-    "katakana": (0x30A0, 0x30FF),
-    "cjk_unified": (0x4E00, 0x9FFF),
-}
-
-
-def only_ranges(text: Column, names: list[str]) -> Column:
-    """``text`` without characters outside the named ranges; blanks, numbers and marks of punctuation stay."""
-    allowed = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in (UNICODE_RANGES[n] for n in names))
-    return F.regexp_replace(text, rf"[^{allowed}\s\p{{N}}\p{{P}}]", "")
+    "basic_latin": ((0x0000, 0x007F),),
+    "latin": ((0x0000, 0x024F),),
+    "ipa_extensions": ((0x0250, 0x02AF),),
+    "spacing_modifiers": ((0x02B0, 0x02FF),),
+    "combining_diacriticals": ((0x0300, 0x036F),),
+    "greek": ((0x0370, 0x03FF),),
+    "greek_extended": ((0x1F00, 0x1FFF),),
+    "cyrillic": ((0x0400, 0x04FF),),
+    "cyrillic_supplement": ((0x0500, 0x052F),),
+    "cyrillic_extended": ((0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x0530, 0x058F),),
+    "hebrew": ((0x0590, 0x05FF),),
+    "arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF)),
+    "general_punctuation": ((0x2000, 0x206F),),
+    "currency_symbols": ((0x20A0, 0x20CF),),
+    "letterlike_symbols": ((0x2100, 0x214F),),
+    "number_forms": ((0x2150, 0x218F),),
+    "arrows": ((0x2190, 0x21FF),),
+    "math_operators": ((0x2200, 0x22FF),),
+    "misc_technical": ((0x2300, 0x23FF),),
+    "box_drawing": ((0x2500, 0x257F),),
+    "block_elements": ((0x2580, 0x259F),),
+    "geometric_shapes": ((0x25A0, 0x25FF),),
+    "misc_symbols": ((0x2600, 0x26FF),),
+    "dingbats": ((0x2700, 0x27BF),),
+    "braille": ((0x2800, 0x28FF),),
+    "cjk_symbols": ((0x3000, 0x303F),),
+    "hiragana": ((0x3040, 0x309F),),
+    "katakana": ((0x30A0, 0x30FF),),
+    "cjk_unified": ((0x4E00, 0x9FFF),),
+    "private_use": ((0xE000, 0xF8FF),),
+    "emoticons": (
+        (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF), (0x1F800, 0x1F8FF),
+        (0x1F900, 0x1F9FF), (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x2600, 0x26FF), (0x2700, 0x27BF),
+    ),
+}
+
+
+def _parts(names: list[str | tuple[int, int]]) -> list[tuple[int, int]]:
+    unknown = [n for n in names if isinstance(n, str) and n not in UNICODE_RANGES]
+    if unknown:
+        raise ValueError(f"no such range: {', '.join(unknown)}")
+    return [part for n in names for part in (UNICODE_RANGES[n] if isinstance(n, str) else [n])]
+
+
+def only_ranges(text: Column, names: list[str | tuple[int, int]], blanks: bool = True, digits: bool = True, marks: bool = True) -> Column:
+    """``text`` without characters outside the ranges (named, or first and last); blanks, numbers and punctuation stay."""
+    allowed = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in _parts(names))
+    more = r"\s" * blanks + r"\p{N}" * digits + r"\p{P}" * marks
+    return F.regexp_replace(text, f"[^{allowed}{more}]", "")
 
 
 def alphabet(spark, names: list[str]) -> DataFrame:
     """Code points of the named ranges."""
-    rows = [(n, *UNICODE_RANGES[n]) for n in names]
+    rows = [(n, lo, hi) for n in names for lo, hi in _parts([n])]
     return spark.createDataFrame(rows, "name string, lo int, hi int").select("name", F.explode(F.sequence("lo", "hi")).alias("code"))
 
 
 def nfc(docs: DataFrame, text: str = "text", name: str = "nfc") -> DataFrame:
+    import unicodedata
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFC")
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(name, normal(F.col(text)))
 

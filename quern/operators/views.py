@@ -1,14 +1,20 @@
-"""Views: named selections of a corpus in a reproducible shuffled order."""
+"""Views: named selections of a corpus in a reproducible shuffled order.
+
+A view is made of narrow rows (source, numbers, sizes); texts are joined to what
+it has selected, by those who read it.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .permute import Permutation
-from .ranks import numbered, with_prefix
+from .ranks import numbered, with_prefixes
 
 
 class NameAlreadyUsed(ValueError):
@@ -51,6 +57,12 @@ MAX_SOURCES = 65_535
 
 def sources_of(docs: DataFrame, source: str = "source") -> DataFrame:
     """One row per source: source_id from 1 by name, its rows and the rows of all sources before it."""
+    rows = source_rows(docs, source)
+    return docs.sparkSession.createDataFrame(rows, f"{source} string, source_id int, n long, offset long")
+
+
+def source_rows(docs: DataFrame, source: str = "source") -> list[tuple[str, int, int, int]]:
+    """The same as a list; there are at most ``MAX_SOURCES``."""
     counts = docs.groupBy(source).agg(F.count("*").alias("n"))
     rows = sorted((r[0], r[1]) for r in counts.limit(MAX_SOURCES + 1).collect())
     if len(rows) > MAX_SOURCES:
@@ -59,19 +71,29 @@ def sources_of(docs: DataFrame, source: str = "source") -> DataFrame:
     for k, (name, n) in enumerate(rows, 1):
         out.append((name, k, n, offset))
         offset += n
-    return docs.sparkSession.createDataFrame(out, f"{source} string, source_id int, n long, offset long")
+    return out
 
 
-def indexed(docs: DataFrame, sources: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def indexed(docs: DataFrame, sources: DataFrame, key: str = "doc_id", source: str = "source", n: int | None = None) -> DataFrame:
     """``docs`` with source_id, doc_key (dense within the source) and the global index g."""
-    keyed = numbered(docs, key, [source], "doc_key")
+    keyed = numbered(docs, key, [source], "doc_key", n)
     return keyed.join(F.broadcast(sources.select(source, "source_id", "offset")), source).withColumn("g", F.col("offset") + F.col("doc_key")).drop("offset")
 
 
-def located(index: DataFrame, sources: DataFrame, g: str = "g") -> DataFrame:
-    """The reverse: source and doc_key of global indexes, by a range join with the small table of offsets."""
-    s = F.broadcast(sources.select("source", "source_id", "n", "offset"))
-    return index.join(s, (F.col(g) >= F.col("offset")) & (F.col(g) < F.col("offset") + F.col("n"))).withColumn("doc_key", F.col(g) - F.col("offset")).drop("n", "offset")
+def located(index: DataFrame, sources: list[tuple[str, int, int, int]], g: str = "g") -> DataFrame:
+    """The reverse: source and doc_key of global indexes, by a search in the sorted offsets of ``source_rows``."""
+    offsets = np.array([r[3] for r in sources if r[2]], dtype=np.int64)
+    ids = np.array([r[1] for r in sources if r[2]], dtype=np.int32)
+
+    @F.arrow_udf("int")
+    def source_of(places: pa.Array) -> pa.Array:
+        at = np.searchsorted(offsets, places.to_numpy(zero_copy_only=False), side="right") - 1
+        return pa.array(ids[at])
+
+    total = sum(r[2] for r in sources)
+    small = index.sparkSession.createDataFrame([(r[0], r[1], r[3]) for r in sources], "source string, source_id int, offset long")
+    within = index.where((F.col(g) >= 0) & (F.col(g) < total)).withColumn("source_id", source_of(F.col(g)))
+    return within.join(F.broadcast(small), "source_id").withColumn("doc_key", F.col(g) - F.col("offset")).drop("offset")
 
 
 def shuffled(index: DataFrame, n: int, seed: int = 27) -> DataFrame:
@@ -83,14 +105,36 @@ def materialised(view: DataFrame, partitions: int) -> DataFrame:
     return view.repartitionByRange(partitions, "pos").sortWithinPartitions("pos")
 
 
-def first_of_each(view: DataFrame, limit: Column, size: Column | None = None) -> DataFrame:
+def source_scan(index: DataFrame, source: str, n: int | None = None, seed: int | None = None) -> DataFrame:
+    """The rows of one source with ``at``, their place: by doc_key, or permuted over the ``n`` rows of the source."""
+    own = index.where(F.col("source") == source)
+    if seed is None:
+        return own.withColumn("at", F.col("doc_key"))
+    n = own.count() if n is None else n
+    return own.withColumn("at", Permutation.draw(n, seed).position(F.col("doc_key"))) if n else own.withColumn("at", F.col("doc_key"))
+
+
+def sequential(index: DataFrame) -> DataFrame:
+    """The unshuffled order: source by source, each by doc_key; that is the global index."""
+    return index.withColumn("pos", F.col("g"))
+
+
+def document(index: DataFrame, source: str, key: int) -> DataFrame:
+    """Random access to one document: a filter that reaches the scan of a corpus laid out by source and key."""
+    return index.where((F.col("source") == source) & (F.col("doc_key") == key))
+
+
+def first_of_each(view: DataFrame, limit: Column, size: Column | None = None, n: int | None = None) -> DataFrame:
     """Rows whose number within the source (or whose size of all before it) is below ``limit``, in shuffled order."""
     value = F.lit(1) if size is None else size
-    return with_prefix(view, "pos", ["source"], value, "_taken").where(F.col("_taken") < limit).drop("_taken")
+    return with_prefixes(view, "pos", ["source"], {"_taken": value}, n).where(F.col("_taken") < limit).drop("_taken")
+
 
+def select(view: DataFrame, selection: dict[str, str | int | float], sources: list[str], unit: Column | None = None, n: int | None = None) -> DataFrame:
+    """The rows a selection takes.  It must name all sources and no other.
 
-def select(view: DataFrame, selection: dict[str, str | int | float], sources: list[str], unit: Column | None = None) -> DataFrame:
-    """The rows a selection takes.  It must name all sources and no other."""
+    ``unit`` is what a size counts; without it the column ``n_bytes`` or the bytes of ``text``.
+    """
     if set(selection) != set(sources):
         raise ValueError(f"the selection must name exactly the sources; it differs in {sorted(set(selection) ^ set(sources))}")
     takes = {k: Take.parse(v) for k, v in selection.items()}
@@ -99,24 +143,30 @@ def select(view: DataFrame, selection: dict[str, str | int | float], sources: li
     if not wanted:
         return view.limit(0)
     table = spark.createDataFrame(wanted, "source string, _kind string, _amount double")
-    size = F.coalesce(unit if unit is not None else F.octet_length("text"), F.lit(0))
+    size = unit if unit is not None else F.col("n_bytes") if "n_bytes" in view.columns else F.octet_length("text")
     rows = view.join(F.broadcast(table), "source")
-    totals = rows.groupBy("source").agg(F.count("*").alias("_n"))
-    rows = with_prefix(rows, "pos", ["source"], F.lit(1), "_rank")
-    rows = with_prefix(rows, "pos", ["source"], size, "_before")
-    rows = rows.join(F.broadcast(totals), "source")
+    rows = with_prefixes(rows, "pos", ["source"], {"_rank": F.lit(1), "_before": F.coalesce(size, F.lit(0))}, n)
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("source"))) if _one_bucket(n) else rows.join(
+        F.broadcast(rows.groupBy("source").agg(F.count("*").alias("_n"))), "source"
+    )  # at most a row per source
     keep = (
         F.when(F.col("_kind") == "preserved", True)
         .when(F.col("_kind") == "count", F.col("_rank") < F.col("_amount"))
         .when(F.col("_kind") == "fraction", F.col("_rank") < F.floor(F.col("_n") * F.col("_amount")))
         .when(F.col("_kind") == "bytes", F.col("_before") < F.col("_amount"))
     )
-    return rows.where(keep).drop("_kind", "_amount", "_rank", "_before", "_n")
+    return counted.where(keep).select(*view.columns)
+
+
+def _one_bucket(n: int | None) -> bool:
+    from .ranks import IN_BUCKET
+
+    return n is not None and n <= IN_BUCKET
 
 
-def compacted(view: DataFrame) -> DataFrame:
+def compacted(view: DataFrame, n: int | None = None) -> DataFrame:
     """Dense positions: rejected rows take no slot."""
-    return numbered(view.withColumnRenamed("pos", "_pos"), "_pos", [], "pos").drop("_pos")
+    return numbered(view.withColumnRenamed("pos", "_pos"), "_pos", [], "pos", n).drop("_pos")
 
 
 def view_stats(view: DataFrame, size: Column) -> DataFrame:

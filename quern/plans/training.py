@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators import batch, chunking, ingest, iterate, labels, masking, pretok, tokenise, views
+from ..operators.permute import Permutation
 from .corpus import INDEX_SQL, _view
 from .registry import query, table
 
@@ -73,6 +74,43 @@ def hf_bpe_encode(spark, sf_dir):
     return got.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.element_at("tokens", 1).alias("first"), F.crc32(F.array_join("tokens", " ").cast("binary")).alias("checksum"))
 
 
+@query("select doc_id, text from documents")
+def hf_decode_roundtrip(spark, sf_dir):
+    """Ids of a byte-level vocabulary and back: nothing is lost."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = tokenise.encoded(_docs(spark, sf_dir, "text"), path)
+    return got.select("doc_id", tokenise.decoded(F.col("tokens"), path).alias("text"))
+
+
+@query()
+def hf_batch_encode(spark, sf_dir):
+    """Cut and padded to 128 ids; the tests compare with the library itself."""
+    import public_tokenizers
+
+    rows = tokenise.batch_encoded(_docs(spark, sf_dir, "text"), public_tokenizers.path("byte_bpe_50k.json"), 128, 0, eos=50_256)
+    return rows.select("doc_id", F.array_join("ids", " ").alias("ids"), "n_ids", F.size(F.filter("padding", lambda m: m)).alias("n_pad"))
+
+
+@query()
+def chunk_aligned_tokens(spark, sf_dir):
+    """Chunks of a tokenizer's ids at sentence bounds, by offsets; tested against a plain model."""
+    import public_tokenizers
+
+    rows = chunking.tokenised_chunks(_docs(spark, sf_dir, "text"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT)
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("sizes", " ").alias("sizes"))
+
+
+@query()
+def chunk_small_tokens(spark, sf_dir):
+    """The same by the carried-tail rule."""
+    import public_tokenizers
+
+    rows = chunking.tokenised_chunks(_docs(spark, sf_dir, "text"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT, "small")
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("sizes", " ").alias("sizes"))
+
+
 # --- sentences and chunks ---------------------------------------------------
 
 SENTENCE_SQL = r"""
@@ -85,14 +123,14 @@ folded as (select doc_id, source, list_reduce(list_prepend({{'o': 0, 'd': []::in
 chunks as (select doc_id, source, case when f.o > 0 then list_append(f.d, f.o) else f.d end sizes from folded)"""
 
 
-def _counts(spark, sf_dir):
+def _counts(spark, sf_dir, *more):
     words = lambda s: F.size(F.filter(F.split(s, r"[ \n\r\t]+"), lambda w: w != ""))
-    return _docs(spark, sf_dir, "source", F.transform(chunking.sentences(F.col("text")), words).alias("counts"))
+    return _docs(spark, sf_dir, "source", F.transform(chunking.sentences(F.col("text")), words).alias("counts"), *more)
 
 
-def _pretok(spark, sf_dir):
+def _pretok(spark, sf_dir, *more):
     """(doc_id, source, sizes): whitespace words packed at sentence boundaries."""
-    return _counts(spark, sf_dir).select("doc_id", "source", chunking.aligned(F.col("counts"), LIMIT).alias("sizes"))
+    return _counts(spark, sf_dir, *more).select("doc_id", "source", chunking.aligned(F.col("counts"), LIMIT).alias("sizes"), *[c for c in ("tokens",) if more])
 
 
 @query(f"""
@@ -116,15 +154,29 @@ def chunk_greedy(spark, sf_dir):
     return _pretok(spark, sf_dir).select("doc_id", F.size("sizes").cast("long").alias("n_chunks"), F.array_join("sizes", " ").alias("sizes"))
 
 
-@query()
+def _fold_sql(step: str) -> str:
+    """A fold over the sentences' sizes, with the state o (open) and d (done), as text."""
+    return f"""
+with {SENTENCE_SQL}, f as (select doc_id, list_reduce(list_prepend({{'o': 0, 'd': []::int[]}}, list_transform(c, lambda x: {{'o': x, 'd': []::int[]}})), lambda a, x: {step}) f from cnt)
+select doc_id, array_to_string(case when f.o > 0 then list_append(f.d, f.o) else f.d end, ' ') sizes from f"""
+
+
+@query(_fold_sql(f"""case when a.o + x.o <= {LIMIT} then {{'o': (a.o + x.o)::int, 'd': a.d}}
+  else {{'o': case when x.o > {LIMIT} then (x.o % {LIMIT})::int else x.o end,
+    'd': list_concat(case when a.o > 0 then list_append(a.d, a.o) else a.d end, list_transform(range(case when x.o > {LIMIT} then x.o // {LIMIT} else 0 end), lambda k: {LIMIT}))}} end"""))
 def chunk_sentences(spark, sf_dir):
-    """Strategy with a carried tail; tested against a plain model."""
+    """Strategy with a carried tail."""
     return chunking.folded(_counts(spark, sf_dir), "counts", LIMIT, "sentences").select("doc_id", F.array_join("chunks", " ").alias("sizes"))
 
 
-@query()
+_PARTS = f"((x.o + {LIMIT} - 1) // {LIMIT})"
+
+
+@query(_fold_sql(f"""case when x.o > {LIMIT} then {{'o': (x.o // {_PARTS} + case when {_PARTS} - 1 < x.o % {_PARTS} then 1 else 0 end)::int,
+    'd': list_concat(list_append(a.d, a.o), list_transform(range({_PARTS} - 1), lambda k: (x.o // {_PARTS} + case when k < x.o % {_PARTS} then 1 else 0 end)::int))}}
+  when a.o + x.o > {LIMIT} then {{'o': x.o, 'd': list_append(a.d, a.o)}} else {{'o': (a.o + x.o)::int, 'd': a.d}} end"""))
 def chunk_equal_parts(spark, sf_dir):
-    """Legacy strategy with near-equal parts; tested against hand-worked examples."""
+    """Legacy strategy with near-equal parts."""
     return chunking.folded(_counts(spark, sf_dir), "counts", LIMIT, "equal_parts").select("doc_id", F.array_join("chunks", " ").alias("sizes"))
 
 
@@ -145,8 +197,7 @@ ch as (select doc_id, k, list_concat([1], t[st + 1 : st + n], [2]) ids from sp j
 
 
 def _chunked(spark, sf_dir):
-    tokens = tokenise.word_ids(F.col("text"))
-    p = _pretok(spark, sf_dir).join(_docs(spark, sf_dir, tokens.alias("tokens")), "doc_id")
+    p = _pretok(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("tokens"))  # sizes and tokens in one pass
     checked = p.withColumn("sizes", pretok.checked_sizes(F.col("sizes"), F.col("tokens"), LIMIT))
     return checked.select("doc_id", "source", pretok.chunked(F.col("tokens"), F.col("sizes"), 1, 2).alias("chunks"))
 
@@ -177,7 +228,38 @@ def length_table(spark, sf_dir):
 with {CHUNK_SQL} select doc_id, source, row_number() over (partition by source order by doc_id) - 1 doc_key from chunks where list_sum(sizes) >= 20
 """)
 def filter_min_tokens(spark, sf_dir):
-    return ingest.with_dense_ids(ingest.long_enough(_pretok(spark, sf_dir)), "doc_id").select("doc_id", "source", "doc_key")
+    return ingest.filtered_clone(_pretok(spark, sf_dir))[0].select("doc_id", "source", "doc_key")
+
+
+@query(f"""
+with {CHUNK_SQL} select source, sum(list_sum(sizes))::bigint total_tokens, max(list_sum(sizes))::bigint max_tokens,
+  sum(len(sizes))::bigint total_chunks, max(len(sizes))::bigint max_chunks, count(*) processed_docs from chunks where list_sum(sizes) >= 20 group by 1
+""")
+def filter_clone_stats(spark, sf_dir):
+    return ingest.filtered_clone(_pretok(spark, sf_dir))[1]
+
+
+@query(f"""
+with {CHUNK_SQL} select source, case when coalesce(list_sum(sizes), 0) = 0 then 'no tokens' when list_max(sizes) > 40 then 'a chunk is too large' end failure, count(*) n
+from chunks group by all
+""")
+def pretokenise_batch(spark, sf_dir):
+    """All sources in one job; what does not fit a strategy of 40 tokens a chunk is told apart, here counted with the rest."""
+    rows = _pretok(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("tokens"))
+    strategy = {"chunk_size": 40, "returns": ["tokens", "chunks"], "required_databases": ["doc_id"]}
+    done, failed = pretok.pretokenised(rows, strategy, F.col("tokens"), F.col("sizes"))
+    every = done.select("source", F.lit(None).cast("string").alias("failure")).unionByName(failed.select("source", "failure"))
+    return every.groupBy("source", "failure").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+with {CHUNK_SQL}, c as (select len(sizes) k, coalesce(list_sum(sizes), 0) t from chunks)
+select count(*) documents, sum(k)::bigint chunks, sum(t)::bigint tokens, (sum(k) // greatest(count(*), 1))::bigint mean_chunks,
+  {", ".join(f"sum((k + {j} - 1) // {j})::bigint length_{j}" for j in range(1, 9))} from c
+""")
+def merged_totals(spark, sf_dir):
+    p = _pretok(spark, sf_dir)
+    return pretok.merged_corpora([p.where("source < 'src2'"), p.where("source >= 'src2'")], 512)[1]
 
 
 # --- iteration --------------------------------------------------------------
@@ -273,17 +355,54 @@ def lm_shift(spark, sf_dir):
 
 
 @query(r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda w: w <> '')[1:12] w from documents)
+with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda w: w <> '') w from documents)
 select doc_id, array_to_string(flatten(list_transform(w, lambda x: list_concat([length(x) % 5], list_transform(range((length(x) + 2) // 3 - 1), lambda j: -100)))), ' ') labels from w
 """)
 def class_pad_align(spark, sf_dir):
     """Words cut into pieces of three letters; the first piece keeps the word's label."""
-    words = F.slice(F.filter(F.split("text", r"[ \n\r\t]+"), lambda w: w != ""), 1, 12)
+    words = F.filter(F.split("text", r"[ \n\r\t]+"), lambda w: w != "")
     d = _docs(spark, sf_dir, words.alias("w"))
     pieces = F.transform("w", lambda x: F.ceil(F.length(x) / 3).cast("int"))
     return d.select("doc_id", F.array_join(labels.aligned(pieces, F.transform("w", lambda x: F.length(x) % 5)), " ").alias("labels"))
 
 
+@query(f"""
+with {WORDS_SQL} select doc_id, array_to_string(list_resize(t[1:32], 32, 0), ' ') ids,
+  array_to_string(list_resize(list_transform(t[1:32], lambda x: x % 7), 32, -100), ' ') labels, len(t[1:32])::bigint n_attended from words
+""")
+def classification_batch(spark, sf_dir):
+    """A labelled token sequence as model input: cut, padded, labels ignored where padded."""
+    d = _docs(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("ids")).withColumn("labels", F.transform("ids", lambda x: x % 7))
+    rows = labels.batch_rows(labels.truncation(d, "ids", 32, "labels")[0], "ids", "labels", 32, 0)
+    attended = F.size(F.filter("attention", lambda m: m)).cast("long")
+    return rows.select("doc_id", F.array_join("ids", " ").alias("ids"), F.array_join("labels", " ").alias("labels"), attended.alias("n_attended"))
+
+
+@query(f"with {WORDS_SQL} select count(*) filter (len(t) > 32) truncated from words")
+def truncation_count(spark, sf_dir):
+    return labels.truncation(_docs(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("ids")), "ids", 32)[1]
+
+
+@query("select distinct event_type as label from events where event_type is not null")
+def unique_labels(spark, sf_dir):
+    return labels.unique(table(spark, sf_dir, "events"), "event_type")
+
+
+_SAMPLER = ", ".join(str((p.n, p.b, p.inverse)) for p in (Permutation.draw(n, 5) for n in (200, 1000, 10_000)))
+
+
+@query(f"""
+with p(n, b, i) as (values {_SAMPLER}), d as (
+  select doc_id, (((p.i * (doc_id - p.b)) % p.n + p.n) % p.n)::bigint pos, p.n from documents, p where p.n = (select count(*) from documents)),
+r as (select doc_id, pos from d union all select doc_id, pos + n from d)
+select doc_id, pos // 3 as "at" from r where pos % 3 = 1 and pos < ((select any_value(n) from d) + 2) // 3 * 3
+""")
+def sampler_rank(spark, sf_dir):
+    """What rank 1 of 3 reads in epoch 2; the ranks are filled up from the beginning."""
+    d = _docs(spark, sf_dir)
+    return labels.sampled(d, "doc_id", d.count(), 1, 3, epoch=2, seed=3).select("doc_id", "at")
+
+
 # --- masking ----------------------------------------------------------------
 
 def _u(*parts: str) -> str:
@@ -292,17 +411,21 @@ def _u(*parts: str) -> str:
 
 
 def _mask_sql(rate: str, cloze: float, random: float) -> str:
+    draw = lambda at: f"(('0x' || substr(h, {at}, 8))::bigint / 4294967296.0)"
+    # Ids 0 and 4 are the padding and the mask: a random id is neither.
+    drawn = f"floor({draw(17)} * 50001)::int"
+    moved = f"(case when {drawn} + 1 >= 4 then {drawn} + 2 else {drawn} + 1 end)"
     return f"""
-with {WORDS_SQL}, x as (select doc_id, unnest(t[1:64]) id, generate_subscripts(t[1:64], 1) - 1 i from words),
-k as (select *, case when {_u("'42'", "'pick'", "doc_id::varchar", "i::varchar")} >= {rate} then 0
-  when {_u("'42'", "'kind'", "doc_id::varchar", "i::varchar")} < {cloze} then 1
-  when {_u("'42'", "'kind'", "doc_id::varchar", "i::varchar")} < {cloze + random} then 2 else 3 end kind from x)
-select doc_id, array_to_string(list(case kind when 1 then 4 when 2 then floor({_u("'42'", "'id'", "doc_id::varchar", "i::varchar")} * 50003)::int else id end order by i), ' ') masked,
-  count(*) filter (kind > 0) n_masked, count(*) filter (kind = 2) n_random from k group by 1"""
+with {WORDS_SQL}, x as (select doc_id, unnest(t) id, generate_subscripts(t, 1) - 1 i from words),
+y as (select *, md5('42:' || doc_id::varchar || ':' || i::varchar) h from x),
+k as (select *, case when {draw(1)} >= {rate} then 0 when {draw(9)} < {cloze} then 1 when {draw(9)} < {cloze + random} then 2 else 3 end kind from y)
+select doc_id, array_to_string(list(case kind when 1 then 4 when 2 then {moved} else id end order by i), ' ') masked,
+  count(*) filter (kind > 0) n_masked, count(*) filter (kind = 2) n_random from k group by 1
+union all select doc_id, '', 0, 0 from words where len(t) = 0"""
 
 
 def _masked(spark, sf_dir, rate, **shares):
-    d = _docs(spark, sf_dir, F.slice(tokenise.word_ids(F.col("text")), 1, 64).alias("ids")).where(F.size("ids") > 0)
+    d = _docs(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("ids"))
     m = d.select("doc_id", masking.masked(F.col("ids"), F.col("doc_id"), 42, rate, 4, 0, 50_003, **shares).alias("m"))
     kind = lambda test: F.size(F.filter("m.kinds", test)).cast("long")
     return m.select("doc_id", F.array_join("m.masked", " ").alias("masked"), kind(lambda k: k > 0).alias("n_masked"), kind(lambda k: k == 2).alias("n_random"))
@@ -373,21 +496,26 @@ def entropy_groups(spark, sf_dir):
     return _series(spark, sf_dir).select("vec_id", F.array_join(chunking.entropy_groups(F.col("h"), 0.1), " ").alias("patches"))
 
 
-@query("""
-with t as (select doc_id, substr(text, 1, 60) t from documents where length(text) >= 60)
-select doc_id, array_to_string([substr(t, 1, 16), substr(t, 17, 16), substr(t, 33, 8), substr(t, 41, 16), substr(t, 57, 4)], '|') pieces from t
+@query(f"""
+with {SENTENCE_SQL} select doc_id, coalesce(array_to_string(flatten(list_transform(s, lambda x: list_transform(range((length(x) + 15) // 16), lambda k: substr(x, 16 * k + 1, 16)))), '|'), '') pieces from sent
 """)
 def cut_text(spark, sf_dir):
-    span = lambda a, b: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
-    d = _docs(spark, sf_dir, "text").where(F.length("text") >= 60)
-    return d.select("doc_id", F.array_join(chunking.cut_text(F.col("text"), F.array(span(0, 40), span(40, 60)), 16), "|").alias("pieces"))
+    """Whole texts, cut at sentences and no piece longer than 16 characters."""
+    lens = F.transform(chunking.sentences(F.col("text")), lambda s: F.length(s))
+    d = _docs(spark, sf_dir, "text", chunking.spans(lens).alias("spans"))
+    return d.select("doc_id", F.array_join(chunking.cut_text(F.col("text"), F.col("spans"), 16), "|").alias("pieces"))
 
 
-@query("select label, round(avg(x), 6) mean, round(var_pop(x), 6) var, round(stddev_pop(x), 6) std, count(x) n from (select label, unnest(embedding)::double x from embeddings) group by 1")
+@query("""
+with x as (select label, unnest(embedding)::double x from embeddings),
+m as (select label, avg(x) mean, var_pop(x) var, stddev_pop(x) std, count(x) n from x group by 1)
+select m.label, round(any_value(mean), 6) mean, round(any_value(var), 6) var, round(any_value(std), 6) std, any_value(n) n,
+  round(avg(pow((x - mean) / std, 3)), 6) skewness, round(avg(pow((x - mean) / std, 4)) - 3, 6) kurtosis from x join m using (label) group by 1
+""")
 def array_moments(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("v")).select("label", F.col("v").cast("double").alias("x"))
     m = metrics.moments(x, "x", ["label"])
-    return m.select("label", *[F.round(c, 6).alias(c) for c in ("mean", "var", "std")], "n")
+    return m.select("label", *[F.round(c, 6).alias(c) for c in ("mean", "var", "std", "skewness", "kurtosis")], "n")
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) norm from embeddings")
@@ -417,6 +545,51 @@ def f1_by_class(spark, sf_dir):
     return metrics.f1_scores(g, "p", "t").select("class", F.round("f1", 8).alias("f1"))
 
 
+@query("""
+with g as (select quality t, case when n_chars > 300 then 1 else 0 end p from documents join labels using (doc_id)),
+c as (select unnest([0, 1])::int as class),
+f as (select class, 2.0 * count(*) filter (t = class and p = class) / greatest(count(*) filter (p = class) + count(*) filter (t = class), 1) f1 from g, c group by 1)
+select round(avg(f1), 8) macro_f1 from f
+""")
+def f1_macro(spark, sf_dir):
+    g = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    g = g.select(F.col("quality").alias("t"), F.when(F.col("n_chars") > 300, 1).otherwise(0).alias("p"))
+    return metrics.macro_f1(g, "p", "t").select(F.round("macro_f1", 8).alias("macro_f1"))
+
+
+@query("""
+select l_returnflag flag, round(avg(case when y then 2.5 * ln(1 + exp(-z)) else ln(1 + exp(z)) end), 8) bce, round(avg(pow(l_tax - l_discount, 2)), 8) mse, round(avg(abs(l_tax - l_discount)), 8) mae
+from (select *, (l_quantity - 25) / 10 z, l_linenumber % 2 = 1 y from lineitem) group by 1
+""")
+def loss_means(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("z", (F.col("l_quantity") - 25) / 10).withColumn("y", F.col("l_linenumber") % 2)
+    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.round(metrics.binary_cross_entropy(F.col("z"), F.col("y"), F.lit(True), 2.5), 8).alias("bce"),
+        F.round(metrics.squared_error(F.col("l_tax"), F.col("l_discount")), 8).alias("mse"),
+        F.round(metrics.absolute_error(F.col("l_tax"), F.col("l_discount")), 8).alias("mae"),
+    )
+
+
+@query(f"""
+with {WORDS_SQL} select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(
+  list_filter(range(1, len(t) - 1), lambda k: t[k] = t[len(t) - 1] and t[k + 1] = t[len(t)]), lambda k: t[k + 2]))), ' '), '') banned from words
+""")
+def ngram_ban(spark, sf_dir):
+    """Tokens that would end a trigram a second time."""
+    d = _docs(spark, sf_dir, tokenise.word_ids(F.col("text")).alias("ids"))
+    return d.select("doc_id", F.array_join(metrics.banned_next(F.col("ids"), 3), " ").alias("banned"))
+
+
+@query(f"""
+with {WORDS_SQL}, x as (select doc_id, unnest(t) id, generate_subscripts(t, 1) - 1 i from words),
+c as (select doc_id, i // 64 k, avg((id % 3 = 0)::int) a, count(*) n from x group by all)
+select doc_id, count(*) chunks, sum(n)::bigint tokens, round(avg(a), 8) mean_accuracy, arg_max(k, (a, -k))::bigint best, arg_min(k, (a, k))::bigint worst from c group by 1
+""")
+def chunk_accuracy(spark, sf_dir):
+    d = _docs(spark, sf_dir, F.posexplode(tokenise.word_ids(F.col("text"))).alias("i", "id")).withColumn("hit", F.col("id") % 3 == 0)
+    return metrics.chunk_report(d, "doc_id", "i", "hit", 64)[1].withColumn("mean_accuracy", F.round("mean_accuracy", 8))
+
+
 @query("""
 with s as (select unnest(range(0, 1001, 50))::bigint step),
 p as (select step, least(greatest(step - 150, 0) / 850.0, 1.0) p from s)
@@ -455,14 +628,18 @@ def size_texts(spark, sf_dir):
 
 # --- export -----------------------------------------------------------------
 
-@query(f"with {INDEX_SQL} select pos, source as \"group\", text as data from vw where pos < 100")
+@query(f"""
+with {INDEX_SQL} select vw.pos, vw.source as "group", vw.text as data, json_object('lang', d.lang, 'n_chars', d.n_chars)::varchar meta
+from vw join documents d using (doc_id)
+""")
 def export_jsonl(spark, sf_dir):
-    """The head of a view as JSON lines, read back."""
+    """A view as JSON lines with metadata, read back."""
     from ..sources import sinks
 
-    rows = views.head(_view(spark, sf_dir), 100, 10**18)
-    lines = sinks.json_lines(rows.select("pos", F.col("source").alias("group"), F.col("text").alias("data")))
-    back = F.from_json("value", "pos long, `group` string, data string")
+    meta = F.struct("lang", "n_chars").alias("meta")
+    rows = _view(spark, sf_dir).select("doc_id", "pos", F.col("source").alias("group")).join(_docs(spark, sf_dir, F.col("text").alias("data"), meta), "doc_id")
+    lines = sinks.json_lines(rows.select("pos", "group", "data", "meta"))
+    back = F.from_json("value", "pos long, `group` string, data string, meta string")
     return lines.select(back.alias("r")).select("r.*")
 
 
