@@ -4,10 +4,11 @@
 2. Corners of every scale are kept where the Harris response is the largest
    within ``APART`` pixels: a rule that looks at the neighbourhood only, so that
    their number grows with the image and a crop keeps those it shows.  Each gets
-   an orientation (its patch's centre of brightness) and 128 brightness
+   an orientation (its patch's centre of brightness) and 256 brightness
    comparisons turned by it.
-3. Hamming tables: the 128 bits make two keys of 64 bits; two descriptors meet
-   if one key is equal.  In a bucket of up to ``reach`` + 1 rows each row meets
+3. Hamming tables: the 256 bits make two keys of 128 bits, so long that patches
+   without much in them do not fill buckets; two descriptors meet if one key is
+   equal (by a 64-bit hash of it).  In a bucket of up to ``reach`` + 1 rows each row meets
    those before it; a larger one is parted into blocks, and all blocks meet.
 4. Geometric consensus: each match names a turn, a scale and a shift; two images
    are linked when at least ``votes`` corners agree in one cell of those.
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
+from .ngrams import mix
 from .simhash import components
 
 APART = 2  # a corner is the largest response within so many pixels
 PATCH = 9
 TURNS = 32
-BITS = 128
+BITS = 256
 REACH = 8  # larger buckets than one row and those before it are parted
 BLOCK = 256  # rows of a bucket that meet as one block
 VOTES = 5
@@ -101,7 +103,7 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(image: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Per scale: rows, columns (of the full image), turn, scale and (n, 2) unsigned words."""
+    """Per scale: rows, columns (of the full image), turn, scale and (n, 4) unsigned words."""
     out = []
     level, scale = image.astype(np.float64), 0
     while min(level.shape) >= 2 * PATCH + 8:
@@ -124,6 +126,12 @@ def packed_place(y: np.ndarray, x: np.ndarray, turn: np.ndarray, scale: np.ndarr
     return ((y + 32768) << 48) | ((x + 32768) << 32) | (turn << 24) | (scale << 20)
 
 
+def keys(words: np.ndarray) -> list[np.ndarray]:
+    """One long per table: a hash of two words; tables have hashes of their own, so that all share one exchange."""
+    with np.errstate(over="ignore"):
+        return [mix(words[:, 2 * t] + mix(words[:, 2 * t + 1] + np.uint64(t))).view(np.int64) for t in range(2)]
+
+
 def _describe_rows(batches):
     names = ("g", "k0", "k1")
     for b in batches:
@@ -134,7 +142,7 @@ def _describe_rows(batches):
                 image = np.frombuffer(pixels, dtype=np.uint8).reshape(h, w)
                 for y, x, turn, scale, words in describe(image):
                     # Places are counted from the middle, where a wrong turn shifts least.
-                    for c, v in zip(columns, (packed_place(y - h // 2, x - w // 2, turn, scale), *words.view(np.int64).T)):
+                    for c, v in zip(columns, (packed_place(y - h // 2, x - w // 2, turn, scale), *keys(words))):
                         c.append(v)
                     found += len(y)
             ends.append(found)
@@ -250,9 +258,8 @@ def copies(images: DataFrame, id_col: str = "image_id", reach: int = REACH, vote
         kept = described.join(again, "image", "left_anti").select("image", "points").unionByName(twins)
     else:
         kept = described.select("image", "points")
-    # Both tables' keys share one exchange; the second is told from the first by a fixed pattern.
     points = kept.select(F.col("image").alias("id"), F.explode("points").alias("q")).select(
-        "id", F.col("q.g").alias("g"), F.explode(F.array("q.k0", F.col("q.k1").bitwiseXOR(F.lit(0x5851F42D4C957F2D)))).alias("key")
+        "id", F.col("q.g").alias("g"), F.explode(F.array("q.k0", "q.k1")).alias("key")
     )
     # The only exchange of pairs: all that follows is settled pair by pair.
     pairs = meetings(points, reach).select("a", "b", "ga", "gb").repartition("a", "b").sortWithinPartitions("a", "b")

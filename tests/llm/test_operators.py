@@ -584,7 +584,7 @@ def brute_image_links(pictures, votes=image_copies.VOTES):
             cells = {}
             for n, (ya, xa, ta, sa, wa) in enumerate(corners[i]):
                 for yb, xb, tb, sb, wb in corners[j]:
-                    if not any(p == q for p, q in zip(wa, wb)):
+                    if wa[:2] != wb[:2] and wa[2:] != wb[2:]:
                         continue
                     t = (tb - ta) % turns
                     f, c, s = 2.0 ** (sb - sa), np.cos(t * (2 * np.pi / turns)), np.sin(t * (2 * np.pi / turns))
