@@ -24,6 +24,45 @@ def sequences(view: DataFrame, chunks: str, m: int, limit: int | None = None) ->
     return rows.withColumn("ids", ids if limit is None else F.slice(ids, 1, limit)).drop(chunks)
 
 
+def unit_groups(rows: DataFrame, units: str, size: int, name: str = "group") -> DataFrame:
+    """One row per ``size`` units in a row (bytes, tokens or patches, whatever the array holds); the last group may be shorter."""
+    steps = F.sequence(F.lit(0), F.ceil(F.size(units) / size).cast("int") - 1)
+    every = rows.where(F.size(units) > 0).withColumn(name, F.explode(steps))
+    return every.withColumn(units, F.slice(units, F.col(name) * size + 1, F.lit(size)))
+
+
+def sample_numbers(rows: DataFrame, by: str = "pos", then: str = "step", name: str = "i") -> DataFrame:
+    """Samples numbered in reading order, so that ranks can share them one by one instead of document by document."""
+    from .ranks import numbered
+
+    return numbered(rows, by, [], name, ties=[then])
+
+
+def with_metadata(rows: DataFrame, docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """Rows with columns of their documents; a name that the rows have already stays theirs."""
+    return rows.join(docs.select(key, *[c for c in columns if c not in rows.columns]), key, "left")
+
+
+def lengths(view: DataFrame, n_chunks: Column, m: int, world: int) -> DataFrame:
+    """One row: documents, sequences of m chunks, the most that one rank has, and what all ranks give out with their fillers."""
+    steps = F.ceil(n_chunks / m).cast("long")
+    ranks = view.groupBy(rank_of(F.col("pos"), world).alias("rank")).agg(F.count("*").alias("d"), F.sum(steps).alias("s"))
+    longest_ = F.coalesce(F.max("s"), F.lit(0))
+    return ranks.agg(
+        F.coalesce(F.sum("d"), F.lit(0)).alias("documents"), F.coalesce(F.sum("s"), F.lit(0)).alias("sequences"),
+        longest_.alias("per_rank"), (longest_ * world).alias("given_out"),
+    )
+
+
+def strategy_totals(tokenised: DataFrame, sequences_: DataFrame, view_sources: DataFrame, strategy: str, view: str, max_seq_len: int, chunk_size: int) -> dict:
+    """What a view holds under a strategy, from the registry's tables: tokens, chunks and sequences of ``max_seq_len``."""
+    m = multiplier(max_seq_len, chunk_size)
+    own = view_sources.where((F.col("view") == view) & (F.col("flag") != "skipped")).select("source_no")
+    total = tokenised.where(F.col("strategy") == strategy).join(own, "source_no").agg(F.sum("tokens").alias("t"), F.sum("chunks").alias("c")).first()
+    n = sequences_.where((F.col("strategy") == strategy) & (F.col("multiplier") == m)).join(own, "source_no").agg(F.sum("n")).first()[0]
+    return {"multiplier": m, "tokens": total["t"] or 0, "chunks": total["c"] or 0, "sequences": n or 0}
+
+
 def rank_of(pos: Column, world: int) -> Column:
     return F.pmod(pos, F.lit(world))
 

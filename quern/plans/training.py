@@ -320,6 +320,44 @@ def resume_at(spark, sf_dir):
     return iterate.resumed(iterate.sequences(v, "chunks", 2), 50, 1).select("pos", "step")
 
 
+@query(f"""
+with {VIEW_CHUNKS_SQL}, r as (select pos % 4 as rank, count(*) d, sum((k + 3) // 4) s from vc group by 1)
+select sum(d)::bigint documents, sum(s)::bigint sequences, max(s)::bigint per_rank, (max(s) * 4)::bigint given_out from r
+""")
+def iteration_lengths(spark, sf_dir):
+    return iterate.lengths(_view_chunks(spark, sf_dir), F.size("sizes"), 4, 4)
+
+
+@query(f"""
+with {VIEW_CHUNKS_SQL}, q as (select doc_id, pos, unnest(range((k + 1) // 2))::int step from vc), n as (select *, row_number() over (order by pos, step) - 1 i from q)
+select pos, step, i from n where i % 4 = 1
+""")
+def sample_rank_skip(spark, sf_dir):
+    """Samples, not documents, dealt out in turn: those of rank 1 of 4."""
+    v = _view_chunks(spark, sf_dir).withColumn("chunks", F.transform("sizes", lambda n: F.array(n)))
+    numbered = iterate.sample_numbers(iterate.sequences(v, "chunks", 2).select("pos", "step"))
+    return numbered.where(iterate.rank_of(F.col("i"), 4) == 1).select("pos", "step", "i")
+
+
+@query(f"""
+with {VIEW_CHUNKS_SQL}, q as (select doc_id, pos, unnest(range((k + 3) // 4))::int step from vc)
+select pos, step, lang, n_chars from q join documents using (doc_id)
+""")
+def sequence_metadata(spark, sf_dir):
+    v = _view_chunks(spark, sf_dir).withColumn("chunks", F.transform("sizes", lambda n: F.array(n)))
+    rows = iterate.sequences(v, "chunks", 4).select("doc_id", "pos", "step")
+    return iterate.with_metadata(rows, table(spark, sf_dir, "documents"), ["lang", "n_chars"]).drop("doc_id")
+
+
+@query("""
+with b as (select doc_id, octet_length(encode(text))::bigint n from documents)
+select doc_id, g::int "group", least(100, n - g * 100)::int n from (select *, unnest(range((n + 99) // 100)) g from b)
+""")
+def byte_groups(spark, sf_dir):
+    rows = iterate.unit_groups(_docs(spark, sf_dir, tokenise.utf8_bytes(F.col("text")).alias("b")), "b", 100)
+    return rows.select("doc_id", "group", F.size("b").alias("n"))
+
+
 @query()
 def recurrence_schedule(spark, sf_dir):
     return iterate.recurrence_schedule(_view_chunks(spark, sf_dir), F.ceil(F.size("sizes") / 2), width=4, world=4)

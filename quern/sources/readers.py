@@ -18,7 +18,7 @@ def folder(spark: SparkSession, path: str, pattern: str = "*.jsonl", recursive:
 
 
 def labelled(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Labelled rows by suffix: csv, tsv, json (one document) or jsonl."""
+    """Labelled rows by suffix: csv, tsv, json (one document), jsonl or parquet."""
     kind = path.rpartition(".")[2].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("csv", "tsv"):
@@ -27,6 +27,8 @@ def labelled(spark: SparkSession, path: str, schema: str | None = None) -> DataF
         return reader.option("multiLine", True).json(path)
     if kind == "jsonl":
         return reader.json(path)
+    if kind == "parquet":
+        return reader.parquet(path)
     raise ValueError(f"unsupported type: {kind}")
 
 
@@ -46,7 +48,21 @@ def conll(spark: SparkSession, path: str, universal: bool = True) -> DataFrame:
     return grouped.select("file", "sentence", F.transform("r", lambda x: x["token"]).alias("tokens"), F.transform("r", lambda x: x["tag"]).alias("tags"))
 
 
-FORMATS = {"jsonl": json_lines, "parquet": lambda s, p: s.read.parquet(p), "csv": labelled, "tsv": labelled, "text": lambda s, p: s.read.text(p, wholetext=True)}
+def discovered(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path``, each a corpus of its own."""
+    from ..operators import store
+
+    return [n for n in store.children(spark, path) if store.children(spark, f"{path}/{n}") and not n.startswith((".", "_"))]
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """Sources of several formats as one; columns that a part lacks are null."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+FORMATS = {"jsonl": json_lines, "parquet": lambda s, p: s.read.parquet(p), "csv": labelled, "tsv": labelled, "labelled": labelled, "text": lambda s, p: s.read.text(p, wholetext=True)}
 
 
 def open_source(spark: SparkSession, kind: str, path: str) -> DataFrame:

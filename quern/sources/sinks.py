@@ -20,5 +20,10 @@ def write_corpus(docs: DataFrame, path: str, codec: str = "zstd") -> None:
     docs.write.option("compression", codec).partitionBy("source").parquet(path)
 
 
+def write_ranked(rows: DataFrame, path: str, rank: str = "rank") -> None:
+    """What each rank was given, as JSON lines in a folder per rank."""
+    rows.write.mode("append").partitionBy(rank).json(path)
+
+
 def view_template(name: str, sources: list[str]) -> dict:
     return {"view_name": name, "selection": {s: "preserved" for s in sources}, "shuffle": True}

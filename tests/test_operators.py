@@ -442,6 +442,32 @@ def test_readers_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "corpus")).where("source = 's'").count() == 1
 
 
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "c" / "one").mkdir(parents=True)
+    (tmp_path / "c" / "none").mkdir()
+    (tmp_path / "c" / "one" / "a.jsonl").write_text('{"text": "x", "label": "p"}\n')
+    assert readers.discovered(spark, f"file://{tmp_path}/c") == ["one"]
+    (tmp_path / "t.json").write_text('[{"text": "y", "more": 1}]')
+    (tmp_path / "u.csv").write_text('text,label\n"z, ""q""",n\n')
+    parts = [readers.labelled(spark, f"{tmp_path}/{p}") for p in ("c/one/a.jsonl", "t.json", "u.csv")]
+    assert {r["text"] for r in readers.united(parts).collect()} == {"x", "y", 'z, "q"'}
+    parts[0].write.parquet(str(tmp_path / "p.parquet"))
+    assert readers.open_source(spark, "labelled", str(tmp_path / "p.parquet")).count() == 1
+    got = readers.folder(spark, str(tmp_path / "c"), recursive=True).collect()
+    assert [(r["source"], r["value"]) for r in got] == [("a", '{"text": "x", "label": "p"}')]
+    assert readers.json_lines(spark, str(tmp_path / "c" / "one")).first()["file"] == "a.jsonl"
+    sinks.write_ranked(spark.createDataFrame([(0, 1), (1, 2)], "rank int, pos int"), str(tmp_path / "ranks"))
+    assert sorted(p.name for p in (tmp_path / "ranks").glob("rank=*")) == ["rank=0", "rank=1"]
+
+
+def test_totals_of_a_strategy(spark):
+    kinds = catalog.KINDS
+    t = spark.createDataFrame([("s", k, 10 * k, 5, k, 1, 1) for k in (1, 2, 3)], kinds["tokenised"].columns)
+    q = spark.createDataFrame([("s", k, 2, k) for k in (1, 2, 3)], kinds["sequences"].columns)
+    v = spark.createDataFrame([("v", 1, "preserved", 1, 1), ("v", 2, "skipped", 1, 1), ("v", 3, "partial", 1, 1)], kinds["view_source"].columns)
+    assert iterate.strategy_totals(t, q, v, "s", "v", 128, 64) == {"multiplier": 2, "tokens": 40, "chunks": 4, "sequences": 4}
+
+
 def test_streaming_ingest(spark, tmp_path):
     from quern.streaming import ingest as stream
 
