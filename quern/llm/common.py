@@ -35,26 +35,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN.append((written, path))
+    written._stashed_at = path
+    _WRITTEN.add(path)
     return written
 
 
-#: What ``stash`` has written and nobody has discarded.
-_WRITTEN: list[tuple[DataFrame, str]] = []
+#: What ``stash`` has written and nobody has discarded; paths only, so that no plan is kept alive.
+_WRITTEN: set[str] = set()
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
-    for df, path in [w for w in _WRITTEN if any(w[0] is t for t in tables)]:
-        _WRITTEN.remove((df, path))
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        _delete(df.sparkSession, {getattr(df, "_stashed_at", None)} & _WRITTEN)
 
 
 def discard_all_but(kept: DataFrame) -> None:
     """Delete every stashed table but ``kept``: for a caller that has written the result it wanted."""
-    discard(*[df for df, _ in _WRITTEN if df is not kept])
+    _delete(kept.sparkSession, _WRITTEN - {getattr(kept, "_stashed_at", None)})
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        _WRITTEN.discard(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_frequent(rows: DataFrame, one_each: DataFrame, key: str, n: int, share: int = 1000) -> DataFrame:

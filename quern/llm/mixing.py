@@ -90,6 +90,8 @@ def train_posterior(labelled: DataFrame, label_col: str, id_col: str, text_col:
             g = p[:, None] * x[None, :]
             squares[:, at] += g * g
             weights[:, at] -= 0.5 * g / np.sqrt(squares[:, at])
+    rows.clear()
+    pa.default_memory_pool().release_unused()
     return Posterior(names, weights.astype(np.float32))
 
 

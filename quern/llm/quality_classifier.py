@@ -112,7 +112,8 @@ def training_rows(docs: DataFrame, bits: int, max_features: int = MAX_FEATURES)
     if last is None:
         return []
     got = made.where(F.col("h") <= F.lit(last)).select("y", "at", "x").toArrow()
-    rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y.as_py()) for y, a, x in zip(*got.columns, strict=True)]
+    # Views of the collected table: the features are on the driver once.
+    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), y.as_py()) for y, a, x in zip(*got.columns, strict=True)]
     rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), int(r[0].sum())))  # the order of tasks does not matter
     return rows
 
@@ -144,7 +145,9 @@ def fit(
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sample = one_text_each(texts.join(F.broadcast(picked), "id"))  # max_train rows of three numbers
-    return train(training_rows(sample, bits, max_features), bits)
+    weights = train(training_rows(sample, bits, max_features), bits)
+    pa.default_memory_pool().release_unused()  # the features are not wanted any more
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
