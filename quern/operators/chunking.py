@@ -181,11 +181,12 @@ OFFSET_SPLITTERS = {"aligned": aligned_chunks, "small": small_chunks}
 def tokenised_chunks(docs: DataFrame, path: str, limit: int, splitter: str = "aligned", text: str = "text") -> DataFrame:
     """``docs`` with ``tokens`` (ids of a tokenizer file) and ``sizes``, their chunks at sentence bounds.
 
-    A text is tokenised once, as a whole; sentences are found in its tokens by their offsets.
+    A text is tokenised once, as a whole; sentences are found in its tokens by their offsets.  Other splitters than those
+    here are looked up among the registered ones: functions of starts, ends, sentence ends and limit that return sizes.
     """
-    from .tokenise import encoded_with_offsets
+    from .tokenise import encoded_with_offsets, resolve
 
-    rule = OFFSET_SPLITTERS[splitter]
+    rule = OFFSET_SPLITTERS.get(splitter) or resolve(splitter)
 
     @F.arrow_udf("array<int>")
     def sizes(starts: pa.Array, ends: pa.Array, stops: pa.Array) -> pa.Array:

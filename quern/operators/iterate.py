@@ -85,8 +85,9 @@ def longest(counts: DataFrame) -> DataFrame:
 
 def fillers(counts: DataFrame) -> DataFrame:
     """(rank, at): the entries that shorter ranks give out after their end, marked as finished."""
-    top = counts.agg(F.max("chunk_count").alias("top"))
-    short = counts.join(F.broadcast(top)).where("chunk_count < top")  # one row
+    # At most a row per rank: all of them in one array beside their largest.
+    rows = counts.agg(F.max("chunk_count").alias("top"), F.collect_list(F.struct("rank", "chunk_count")).alias("r"))
+    short = rows.select("top", F.explode("r").alias("r")).select("top", "r.*").where("chunk_count < top")
     return short.select("rank", F.explode(F.expr("sequence(chunk_count, top - 1)")).alias("at"), F.array(F.lit(0)).alias("ids"), F.lit(True).alias("worker_has_finished"))
 
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 IN_BUCKET = 250_000
 
 
@@ -46,13 +48,14 @@ def with_prefixes(
     if buckets <= 1:
         own = Window.partitionBy(*by).orderBy(*order).rowsBetween(*before)
         return df.select("*", *[summed(v.cast("long"), own).alias(name) for name, v in values.items()])
-    rows = df.select("*", _bucket_of(df, key, buckets).alias("_bucket"), *[v.cast("long").alias(f"_v_{name}") for name, v in values.items()])
+    df = store.written(df.select("*", *[v.cast("long").alias(f"_v_{name}") for name, v in values.items()]), "to-number")  # read three times
+    rows = df.withColumn("_bucket", _bucket_of(df, key, buckets))
     sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
     all_before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*before)
     prefix = sums.select(*by, "_bucket", *[summed(F.col(f"_s_{name}"), all_before).alias(f"_p_{name}") for name in values])
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(*before)
     joined = rows.join(prefix, [*by, "_bucket"])
-    return joined.select(*df.columns, *[(F.col(f"_p_{name}") + summed(F.col(f"_v_{name}"), inside)).alias(name) for name in values])
+    return joined.select(*[c for c in df.columns if not c.startswith("_v_")], *[(F.col(f"_p_{name}") + summed(F.col(f"_v_{name}"), inside)).alias(name) for name in values])
 
 
 def numbered(df: DataFrame, key: str, by: list[str], name: str, n: int | None = None, in_bucket: int = IN_BUCKET, ties: list[str] | None = None) -> DataFrame:

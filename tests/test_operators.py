@@ -320,6 +320,25 @@ def test_chunks_by_offsets(spark, sf_dir, splitter):
         assert r["tokens"] == encoding.ids[: sum(r["sizes"])] and max(r["sizes"], default=0) <= 30
 
 
+def test_registered_splitters(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenise, "REGISTRY", {})
+
+    def missing():
+        raise ImportError("a library that is not there")
+
+    tokenise.register("pairs", missing, 5)
+    with pytest.raises(ImportError):
+        tokenise.resolve("pairs")
+    tokenise.register("pairs", lambda: lambda starts, ends, stops, limit: [2] * (len(starts) // 2) + [1] * (len(starts) % 2))
+    df = spark.createDataFrame([("one two three",)], "text string")
+    r = chunking.tokenised_chunks(df, public_tokenizers.path(PATH), 9, "pairs").first()
+    assert sum(r["sizes"]) == len(r["tokens"]) and set(r["sizes"][:-1]) <= {2}
+    with pytest.raises(KeyError):
+        chunking.tokenised_chunks(df, public_tokenizers.path(PATH), 9, "none")
+
+
 def test_patches_as_tables(spark):
     rows = spark.createDataFrame([([[97, 98], [99]],)], "p array<array<int>>")
     got = rows.select(tokenise.batch_encoded_patches(F.col("p"), 3, 3, 0).alias("x")).first()["x"]
