@@ -293,6 +293,23 @@ def test_encoder_matches_the_library():
         assert np.frombuffer(e(text), dtype="<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_matches_the_library_on_every_text():
+    """All texts of the largest given table, ids in whole, whichever way the encoder takes."""
+    import os
+
+    import duckdb
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    e = packing.Encoder(tokenizer_path())
+    cur = duckdb.connect().execute(f"select distinct coalesce(text, '') from '{path}'")
+    while rows := cur.fetchmany(2000):
+        texts = [t for t, in rows]
+        for text, want in zip(texts, e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            assert e(text) == np.array(want.ids, dtype="<u4").tobytes()
+
+
 def test_urls_on_odd_rows(spark):
     urls = [None, "", "nothing", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "http://a.net/es", "http://a.net/es/", "ftp://net/fr/1", "http://x.org/a?utm_source=1", "http://x.org/a", "http://notexample.com/en/", "http://example.com/en/", "x://y.com"]
     df = spark.createDataFrame([(k, u, "h", "p") for k, u in enumerate(urls)] + [(0, None, "", "")], "page_id long, url string, host string, key string")
