@@ -62,11 +62,17 @@ def _delete(spark: SparkSession, paths: set[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+FEW = 20_000
+
+
 def join_frequent(rows: DataFrame, one_each: DataFrame, key: str, n: int, share: int = 1000) -> DataFrame:
     """The inner join of ``rows``, at most ``n`` of them or little more, with a table of one row per ``key``.
 
     Keys of more than one in ``share`` of all rows, at most ``share`` keys, are joined by broadcast, so that none of them fills a task.
+    Up to ``FEW`` rows are joined as they are: all of them in one task would be no load.
     """
+    if n <= FEW:
+        return rows.join(one_each, key)
     counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
     frequent = counts.where(F.col("_rows") > max(1000, n // share)).select(key)
     by_broadcast = one_each.join(F.broadcast(frequent), key, "left_semi")
