@@ -131,6 +131,17 @@ def test_near_duplicates_on_odd_texts(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_frequent_keys_join_like_others(spark, monkeypatch):
+    from quern.llm import common
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 1500, 7).otherwise(F.col("id") % 50).alias("k"))
+    small = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted((r["id"], r["v"]) for r in rows.join(small, "k").collect())
+    assert sorted((r["id"], r["v"]) for r in common.join_frequent(rows, small, "k", 3000).collect()) == want
+    monkeypatch.setattr(common, "FEW", 0)
+    assert sorted((r["id"], r["v"]) for r in common.join_frequent(rows, small, "k", 3000).collect()) == want and len(want) > 1500
+
+
 def test_large_groups_give_stars(spark):
     values = [(7 << 20) ^ (1 << k) for k in range(20)] * 3
     df = spark.createDataFrame([(v,) for v in set(values)], "fp long")
