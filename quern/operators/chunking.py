@@ -184,19 +184,24 @@ def tokenised_chunks(docs: DataFrame, path: str, limit: int, splitter: str = "al
     A text is tokenised once, as a whole; sentences are found in its tokens by their offsets.  Other splitters than those
     here are looked up among the registered ones: functions of starts, ends, sentence ends and limit that return sizes.
     """
-    from .tokenise import encoded_with_offsets, resolve
+    from .tokenise import resolve, with_offsets
 
     rule = OFFSET_SPLITTERS.get(splitter) or resolve(splitter)
 
-    @F.arrow_udf("array<int>")
-    def sizes(starts: pa.Array, ends: pa.Array, stops: pa.Array) -> pa.Array:
-        rows = zip(starts.to_pylist(), ends.to_pylist(), stops.to_pylist())
-        return pa.array([rule(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c or [], dtype=np.int64), limit) for a, b, c in rows], pa.list_(pa.int32()))
-
-    rows = encoded_with_offsets(docs, path, text, "_e").withColumn("_s", sentence_ends(F.col(text)))
-    found = rows.select(*docs.columns, F.col("_e.ids").alias("tokens"), sizes("_e.starts", "_e.ends", "_s").alias("sizes"))
-    total = F.aggregate("sizes", F.lit(0), lambda a, n: a + n)
-    return found.withColumn("tokens", F.slice("tokens", F.lit(1), total))  # what the rule dropped goes
+    # Offsets are used up in the worker: only ids and sizes leave it.
+    @F.arrow_udf("struct<tokens:array<int>,sizes:array<int>>")
+    def both(texts: pa.Array, lens: pa.Array) -> pa.Array:
+        ids, sizes = [], []
+        for (own, starts, ends), n in zip(with_offsets(texts, path), lens):
+            stops = np.cumsum(n.values.to_numpy(zero_copy_only=False).astype(np.int64))
+            found = rule(starts.astype(np.int64), ends.astype(np.int64), stops, limit)
+            ids.append(own[: sum(found)])  # what the rule dropped goes
+            sizes.append(np.array(found, dtype=np.int32))
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(ids, kind), pa.array(sizes, kind)], names=["tokens", "sizes"])
+
+    lens = F.transform(sentences(F.col(text)), lambda s: F.length(s))
+    return docs.withColumn("_c", both(F.col(text), lens)).select(*docs.columns, "_c.tokens", "_c.sizes")
 
 
 def entropy_cuts(h: Column, smoothing: float = 0.0) -> Column:

@@ -95,30 +95,63 @@ def _tokenizer(path: str):
     return _OPEN[path]
 
 
+#: Bytes of text, or half as many ids, that a worker holds as objects at a time; an Arrow batch may be much larger.
+PIECE = 1 << 18
+
+
+def pieces(sizes: np.ndarray, at_most: int = PIECE) -> list[tuple[int, int]]:
+    """Rows first to last (exclusive) in turn, each piece of about ``at_most`` by ``sizes``; a row is never parted."""
+    before = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])[:-1]
+    cuts = np.flatnonzero(np.diff(before // at_most)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])) if len(sizes) else []
+
+
+def _text_pieces(texts: pa.Array):
+    """The texts of a batch as lists, a piece at a time; null ones are empty."""
+    for i, j in pieces(np.diff(_flat(texts)[0])) if len(texts) else []:
+        yield [t or "" for t in texts.slice(i, j - i).to_pylist()]
+
+
+_IDS = pa.list_(pa.int32())
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "tokens", bos: int | None = None, eos: int | None = None, limit: int | None = None) -> DataFrame:
-    """``docs`` with token ids of a tokenizer file; one call per Arrow batch.
+    """``docs`` with token ids of a tokenizer file; one call per piece of an Arrow batch.
 
     Truncation comes after the special ids.
     """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        got = [e.ids for e in _tokenizer(path).encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         head, tail = [bos] if bos is not None else [], [eos] if eos is not None else []
-        return pa.array([(head + g + tail)[:limit] for g in got], pa.list_(pa.int32()))
+        parts = []
+        for rows in _text_pieces(texts):
+            got = _tokenizer(path).encode_batch_fast(rows, add_special_tokens=False)
+            parts.append(pa.array([np.array((head + e.ids + tail)[:limit], dtype=np.int32) for e in got], _IDS))
+        return _joined(parts, _IDS)
 
     return docs.withColumn(name, ids(F.col(text)))
 
 
+def with_offsets(texts: pa.Array, path: str):
+    """Of each text its ids and the first and last place (exclusive) of each token, in characters; a piece of the batch at a time."""
+    for rows in _text_pieces(texts):
+        for e in _tokenizer(path).encode_batch(rows, add_special_tokens=False):
+            places = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+            yield np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]
+
+
 def encoded_with_offsets(docs: DataFrame, path: str, text: str = "text", name: str = "encoding") -> DataFrame:
     """``docs`` with a struct of ids and of the first and last place (exclusive) of each token, in characters of the text."""
 
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def both(texts: pa.Array) -> pa.Array:
-        got = _tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-        kind = pa.list_(pa.int32())
-        columns = [pa.array([e.ids for e in got], kind), *[pa.array([[o[k] for o in e.offsets] for e in got], kind) for k in (0, 1)]]
-        return pa.StructArray.from_arrays(columns, names=["ids", "starts", "ends"])
+        columns = list(zip(*with_offsets(texts, path))) or [[], [], []]
+        return pa.StructArray.from_arrays([pa.array(list(c), _IDS) for c in columns], names=["ids", "starts", "ends"])
 
     return docs.withColumn(name, both(F.col(text)))
 
@@ -128,7 +161,9 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array(_tokenizer(path).decode_batch([r or [] for r in rows.to_pylist()], skip_special_tokens=True), pa.string())
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        slices = (rows.slice(i, j - i).to_pylist() for i, j in pieces(sizes, PIECE // 2))
+        return _joined([pa.array(_tokenizer(path).decode_batch([r or [] for r in s], skip_special_tokens=True), pa.string()) for s in slices], pa.string())
 
     return text(ids)
 
