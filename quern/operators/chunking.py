@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -243,13 +244,48 @@ def word_cuts(text: Column, doc: Column, seed: int = 0, longest: int = 27, share
     return F.aggregate(rows, start, step, lambda a: F.when(a["open"] != "", F.array_append(a["done"], a["open"])).otherwise(a["done"]))
 
 
+def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array, limit: int) -> pa.Array:
+    """Pieces of the texts of one slice of a batch: places in characters become places in bytes by one look at the bytes."""
+    from .tokenise import _flat
+
+    where, data = _flat(texts)
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(chars, where)  # the first character of each text, and an end
+    n_spans = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(texts)), n_spans)
+    s, e = (x.flatten().to_numpy(zero_copy_only=False) for x in (starts, ends))
+    kept = e > s
+    row, s, e = row[kept], s[kept], e[kept]
+    n = -(-(e - s) // limit)
+    of = np.repeat(np.arange(len(n)), n)
+    begin = s[of] + limit * (np.arange(len(of)) - (np.cumsum(n) - n)[of])
+    size = np.diff(first)[row[of]]
+    at = lambda place: chars[first[row[of]] + np.minimum(place, size)]
+    lo, hi = at(begin), at(np.minimum(begin + limit, e[of]))
+    into = np.concatenate([[0], np.cumsum(hi - lo)])
+    if len(lo) and not (lo[1:] == hi[:-1]).all():
+        data = data[np.repeat(lo - into[:-1], hi - lo) + np.arange(into[-1])]
+    elif len(lo):
+        data = data[lo[0] : hi[-1]]
+    pieces_ = pa.StringArray.from_buffers(len(lo), pa.py_buffer(into.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    if texts.null_count:
+        pieces_ = pc.if_else(pa.array(np.array(texts.is_valid())[row[of]]), pieces_, pa.scalar(None, pa.string()))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[of], minlength=len(texts)))]).astype(np.int32)
+    mask = pa.array(~np.array(starts.is_valid())) if starts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pieces_, mask=mask)
+
+
 def cut_text(text: Column, spans_: Column, hard_limit: int) -> Column:
-    """Pieces of ``text`` by spans, none longer than ``hard_limit``."""
-    within = lambda s: F.transform(
-        F.sequence(F.lit(0), F.ceil((s["end"] - s["start"]) / hard_limit).cast("int") - 1),
-        lambda k: F.substring(text, (s["start"] + k * hard_limit + 1).cast("int"), F.least(F.lit(hard_limit), (s["end"] - s["start"] - k * hard_limit).cast("int"))),
-    )
-    return F.flatten(F.transform(F.filter(spans_, lambda s: s["end"] > s["start"]), within))
+    """Pieces of ``text`` by spans, none longer than ``hard_limit``: a walk from the text's start for each would be quadratic."""
+    from .tokenise import _flat, pieces
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        slices = pieces(np.diff(_flat(texts)[0])) if len(texts) else []
+        parts = [_cut(texts.slice(i, j - i), starts.slice(i, j - i), ends.slice(i, j - i), hard_limit) for i, j in slices]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+    return cut(text, *[F.transform(spans_, lambda s: s[end].cast("long")) for end in ("start", "end")])
 
 
 @F.arrow_udf(ArrayType(IntegerType()))

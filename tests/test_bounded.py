@@ -30,3 +30,20 @@ def test_pieces_of_a_batch():
 def test_offsets_stay_in_the_worker(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     assert text.count("ArrowEvalPython") == 1 and "starts" not in text
+
+
+def test_cuts_by_brute_force():
+    dice = random.Random(1)
+    for _ in range(100):
+        limit, rows = dice.randint(1, 5), []
+        for _ in range(dice.randint(0, 6)):
+            text = None if dice.random() < 0.1 else "".join(dice.choice("aé€😀 b") for _ in range(dice.randint(0, 12)))
+            begins = [dice.randint(0, len(text or "") + 3) for _ in range(dice.randint(0, 4))]
+            rows.append((text, None if dice.random() < 0.1 else [(a, a + dice.randint(0, 6)) for a in begins]))
+        longs = lambda k: pa.array([[9], *[None if s is None else [x[k] for x in s] for _, s in rows]], pa.list_(pa.int64())).slice(1)  # noqa: B023, E731
+        got = chunking._cut(pa.array(["xx", *[t for t, _ in rows]]).slice(1), longs(0), longs(1), limit).to_pylist()
+        assert got == [None if s is None else [t and t[k : min(k + limit, b)] if t is not None else None for a, b in s for k in range(a, b, limit)] for t, s in rows]
+
+
+def test_cuts_do_not_walk_from_the_start(spark, sf_dir):
+    assert "substring" not in plan(catalogue.QUERIES["cut_text"](spark, sf_dir))
