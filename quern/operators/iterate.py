@@ -25,10 +25,17 @@ def sequences(view: DataFrame, chunks: str, m: int, limit: int | None = None) ->
 
 
 def unit_groups(rows: DataFrame, units: str, size: int, name: str = "group") -> DataFrame:
-    """One row per ``size`` units in a row (bytes, tokens or patches, whatever the array holds); the last group may be shorter."""
-    steps = F.sequence(F.lit(0), F.ceil(F.size(units) / size).cast("int") - 1)
-    every = rows.where(F.size(units) > 0).withColumn(name, F.explode(steps))
-    return every.withColumn(units, F.slice(units, F.col(name) * size + 1, F.lit(size)))
+    """One row per ``size`` units in a row (bytes, tokens or patches, whatever the array or binary holds); the last group may be shorter."""
+    whole = F.col(units)
+    if rows.schema[units].dataType.typeName() == "binary":
+        n, part = F.octet_length(whole), lambda k: F.substring(whole, k * size + 1, F.lit(size))
+    else:
+        n, part = F.size(whole), lambda k: F.slice(whole, k * size + 1, F.lit(size))
+    steps = F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+    # The groups are cut before they become rows: no row carries the whole array.
+    parts = F.transform(steps, lambda k: F.struct(k.alias("k"), part(k).alias("part")))
+    every = rows.where(n > 0).select("*", F.explode(parts).alias("_g"))
+    return every.select(*[F.col("_g.part").alias(c) if c == units else c for c in rows.columns], F.col("_g.k").alias(name))
 
 
 def sample_numbers(rows: DataFrame, by: str = "pos", then: str = "step", name: str = "i") -> DataFrame:

@@ -354,8 +354,8 @@ with b as (select doc_id, octet_length(encode(text))::bigint n from documents)
 select doc_id, g::int "group", least(100, n - g * 100)::int n from (select *, unnest(range((n + 99) // 100)) g from b)
 """)
 def byte_groups(spark, sf_dir):
-    rows = iterate.unit_groups(_docs(spark, sf_dir, tokenise.utf8_bytes(F.col("text")).alias("b")), "b", 100)
-    return rows.select("doc_id", "group", F.size("b").alias("n"))
+    rows = iterate.unit_groups(_docs(spark, sf_dir, F.col("text").cast("binary").alias("b")), "b", 100)
+    return rows.select("doc_id", "group", F.size(tokenise.utf8_bytes(F.col("b"))).alias("n"))
 
 
 @query()

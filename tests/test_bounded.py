@@ -32,6 +32,21 @@ def test_offsets_stay_in_the_worker(spark, sf_dir, name):
     assert text.count("ArrowEvalPython") == 1 and "starts" not in text
 
 
+@pytest.mark.parametrize("kind", ["array<int>", "binary"])
+def test_groups_of_units(spark, kind):
+    values = [b"", None, b"abc", b"abcd", b"abcdefghi"]
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v) if kind == "binary" else list(v), "x") for k, v in enumerate(values)], f"k int, u {kind}, more string")
+    rows = iterate.unit_groups(df, "u", 4)
+    assert rows.columns == ["k", "u", "more", "group"]
+    want = [(k, g, v[4 * g : 4 * g + 4]) for k, v in enumerate(values) for g in range(-(-len(v or b"") // 4))]
+    assert sorted((r["k"], r["group"], bytes(r["u"])) for r in rows.collect()) == want
+
+
+def test_bytes_become_numbers_in_groups(spark, sf_dir):
+    text = plan(catalogue.QUERIES["byte_groups"](spark, sf_dir))
+    assert text.index("ArrowEvalPython") < text.index("Generate")  # the plan's top comes first
+
+
 def test_cuts_by_brute_force():
     dice = random.Random(1)
     for _ in range(100):
