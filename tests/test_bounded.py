@@ -62,3 +62,7 @@ def test_cuts_by_brute_force():
 
 def test_cuts_do_not_walk_from_the_start(spark, sf_dir):
     assert "substring" not in plan(catalogue.QUERIES["cut_text"](spark, sf_dir))
+
+
+def test_documents_are_judged_once(spark, sf_dir):
+    assert plan(catalogue.QUERIES["pretokenise_batch"](spark, sf_dir)).count("FileScan") == 1
