@@ -64,5 +64,15 @@ def test_cuts_do_not_walk_from_the_start(spark, sf_dir):
     assert "substring" not in plan(catalogue.QUERIES["cut_text"](spark, sf_dir))
 
 
+def test_buckets_without_python(spark):
+    keys = [None, -5, 0, 1, 1, 1, 2, 3, 10**17, 10**17 + 1] * 30
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for buckets in (1, 2, 3, 5, 40):
+        rows = df.select("k", ranks._bucket_of(df, "k", buckets).alias("b"))
+        assert "Python" not in plan(rows)
+        got = sorted({(r["k"] if r["k"] is not None else -(10**18), r["b"]) for r in rows.collect()})
+        assert len(got) == 8 and [b for _, b in got] == sorted(b for _, b in got)  # one bucket a key, in the order of keys
+
+
 def test_documents_are_judged_once(spark, sf_dir):
     assert plan(catalogue.QUERIES["pretokenise_batch"](spark, sf_dir)).count("FileScan") == 1
