@@ -6,7 +6,7 @@ packing works with ``chunk_size - 2``.  Ends are exclusive everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,27 +179,39 @@ def small_chunks(starts: np.ndarray, ends: np.ndarray, sentence_ends: np.ndarray
 OFFSET_SPLITTERS = {"aligned": aligned_chunks, "small": small_chunks}
 
 
+def chunk_arrays(batches: Iterator[tuple[pa.Array, pa.Array]], path: str, limit: int, rule: Callable) -> Iterator[pa.Array]:
+    """Of texts and the lengths of their sentences, in Arrow batches, the ids and the sizes of their chunks, a piece at a time.
+
+    Offsets are used up here: only ids and sizes leave the worker, each piece before the next is made.
+    """
+    from .tokenise import with_offsets
+
+    kind = pa.list_(pa.int32())
+    for texts, lens in batches:
+        left = iter(lens)
+        for rows in with_offsets(texts, path):
+            ids, sizes = [], []
+            for own, starts, ends in rows:
+                stops = np.cumsum(next(left).values.to_numpy(zero_copy_only=False).astype(np.int64))
+                found = rule(starts.astype(np.int64), ends.astype(np.int64), stops, limit)
+                ids.append(own[: sum(found)])  # what the rule dropped goes
+                sizes.append(np.array(found, dtype=np.int32))
+            yield pa.StructArray.from_arrays([pa.array(ids, kind), pa.array(sizes, kind)], names=["tokens", "sizes"])
+
+
 def tokenised_chunks(docs: DataFrame, path: str, limit: int, splitter: str = "aligned", text: str = "text") -> DataFrame:
     """``docs`` with ``tokens`` (ids of a tokenizer file) and ``sizes``, their chunks at sentence bounds.
 
     A text is tokenised once, as a whole; sentences are found in its tokens by their offsets.  Other splitters than those
     here are looked up among the registered ones: functions of starts, ends, sentence ends and limit that return sizes.
     """
-    from .tokenise import resolve, with_offsets
+    from .tokenise import resolve
 
     rule = OFFSET_SPLITTERS.get(splitter) or resolve(splitter)
 
-    # Offsets are used up in the worker: only ids and sizes leave it.
     @F.arrow_udf("struct<tokens:array<int>,sizes:array<int>>")
-    def both(texts: pa.Array, lens: pa.Array) -> pa.Array:
-        ids, sizes = [], []
-        for (own, starts, ends), n in zip(with_offsets(texts, path), lens):
-            stops = np.cumsum(n.values.to_numpy(zero_copy_only=False).astype(np.int64))
-            found = rule(starts.astype(np.int64), ends.astype(np.int64), stops, limit)
-            ids.append(own[: sum(found)])  # what the rule dropped goes
-            sizes.append(np.array(found, dtype=np.int32))
-        kind = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays([pa.array(ids, kind), pa.array(sizes, kind)], names=["tokens", "sizes"])
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return chunk_arrays(batches, path, limit, rule)
 
     lens = F.transform(sentences(F.col(text)), lambda s: F.length(s))
     return docs.withColumn("_c", both(F.col(text), lens)).select(*docs.columns, "_c.tokens", "_c.sizes")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,20 +138,23 @@ def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "tokens"
 
 
 def with_offsets(texts: pa.Array, path: str):
-    """Of each text its ids and the first and last place (exclusive) of each token, in characters; a piece of the batch at a time."""
+    """For each piece of the batch a list: of each text its ids and the first and last place (exclusive) of each token, in characters."""
     for rows in _text_pieces(texts):
+        got = []
         for e in _tokenizer(path).encode_batch(rows, add_special_tokens=False):
             places = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-            yield np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]
+            got.append((np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]))
+        yield got
 
 
 def encoded_with_offsets(docs: DataFrame, path: str, text: str = "text", name: str = "encoding") -> DataFrame:
     """``docs`` with a struct of ids and of the first and last place (exclusive) of each token, in characters of the text."""
 
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
-    def both(texts: pa.Array) -> pa.Array:
-        columns = list(zip(*with_offsets(texts, path))) or [[], [], []]
-        return pa.StructArray.from_arrays([pa.array(list(c), _IDS) for c in columns], names=["ids", "starts", "ends"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for rows in with_offsets(texts, path):
+                yield pa.StructArray.from_arrays([pa.array(list(c), _IDS) for c in zip(*rows)], names=["ids", "starts", "ends"])
 
     return docs.withColumn(name, both(F.col(text)))
 

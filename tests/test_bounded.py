@@ -32,6 +32,40 @@ def test_offsets_stay_in_the_worker(spark, sf_dir, name):
     assert text.count("ArrowEvalPython") == 1 and "starts" not in text
 
 
+def by_pieces(make, batch, n=3):
+    """What ``make`` gives for ``n`` times the batch; it has to yield within a batch, before it asks for the next."""
+    asked, got, after = [], [], []
+    for part in make(asked.append(k) or batch for k in range(n)):
+        got.append(part)
+        after.append(len(asked))
+    assert {after.count(k + 1) for k in range(n)} == {len(got) // n} and len(got) > n
+    return pa.concat_arrays(got).to_pylist()
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return (path := public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(path)
+
+
+LONG = pa.array(["skipped", "One. Two " * 25_000, None, "été, три! " * 15_000, "four", ""]).slice(1)
+
+
+def test_chunks_leave_the_worker_by_pieces():
+    path, plain = tokenizer()
+    texts = [t or "" for t in LONG.to_pylist()]
+    lens = [[5, 4] * 25_000, [], [5, 5] * 15_000, [4], []]
+    got = by_pieces(lambda b: chunking.chunk_arrays(b, path, 62, chunking.small_chunks), (LONG, pa.array(lens, pa.list_(pa.int32()))))
+    want = []
+    for t, n in zip(texts, lens):
+        e = plain.encode(t, add_special_tokens=False)
+        starts, ends = (np.array([o[k] for o in e.offsets], dtype=np.int64) for k in (0, 1))
+        sizes = chunking.small_chunks(starts, ends, np.cumsum(n).astype(np.int64), 62)
+        want.append({"tokens": e.ids[: sum(sizes)], "sizes": sizes})
+    assert got == want * 3
+
+
 @pytest.mark.parametrize("kind", ["array<int>", "binary"])
 def test_groups_of_units(spark, kind):
     values = [b"", None, b"abc", b"abcd", b"abcdefghi"]
