@@ -159,14 +159,21 @@ def encoded_with_offsets(docs: DataFrame, path: str, text: str = "text", name: s
     return docs.withColumn(name, both(F.col(text)))
 
 
+def text_arrays(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
+    """The texts of the token ids of Arrow batches, a piece at a time like ``id_arrays``."""
+    for rows in batches:
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for i, j in pieces(sizes, PIECE // 2):
+            got = _tokenizer(path).decode_batch([r or [] for r in rows.slice(i, j - i).to_pylist()], skip_special_tokens=True)
+            yield pa.array(got, pa.string())
+
+
 def decoded(ids: Column, path: str) -> Column:
     """The texts of token ids, specials left out."""
 
     @F.arrow_udf("string")
-    def text(rows: pa.Array) -> pa.Array:
-        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        slices = (rows.slice(i, j - i).to_pylist() for i, j in pieces(sizes, PIECE // 2))
-        return _joined([pa.array(_tokenizer(path).decode_batch([r or [] for r in s], skip_special_tokens=True), pa.string()) for s in slices], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return text_arrays(batches, path)
 
     return text(ids)
 

@@ -66,6 +66,18 @@ def test_chunks_leave_the_worker_by_pieces():
     assert got == want * 3
 
 
+def test_decoded_texts_leave_the_worker_by_pieces():
+    path, plain = tokenizer()
+    ids = [None if t is None else plain.encode(t, add_special_tokens=False).ids for t in LONG.to_pylist()]
+    ids[0] += plain.encode(" more" * 140_000, add_special_tokens=False).ids
+    got = by_pieces(lambda b: tokenise.text_arrays(b, path), pa.array([[1], *ids], pa.list_(pa.int32())).slice(1))
+    assert got == [LONG[0].as_py() + " more" * 140_000, "", *LONG.to_pylist()[2:]] * 3
+
+
+def test_ids_become_texts_in_one_call(spark, sf_dir):
+    assert plan(catalogue.QUERIES["hf_decode_roundtrip"](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("kind", ["array<int>", "binary"])
 def test_groups_of_units(spark, kind):
     values = [b"", None, b"abc", b"abcd", b"abcdefghi"]
