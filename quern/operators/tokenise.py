@@ -115,24 +115,21 @@ def _text_pieces(texts: pa.Array):
 _IDS = pa.list_(pa.int32())
 
 
-def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+def id_arrays(batches: Iterator[pa.Array], path: str, bos: int | None = None, eos: int | None = None, limit: int | None = None) -> Iterator[pa.Array]:
+    """Token ids of the texts of Arrow batches, a piece at a time: each leaves the worker before the next is made."""
+    head, tail = [bos] if bos is not None else [], [eos] if eos is not None else []
+    for texts in batches:
+        for rows in _text_pieces(texts):
+            got = _tokenizer(path).encode_batch_fast(rows, add_special_tokens=False)
+            yield pa.array([np.array((head + e.ids + tail)[:limit], dtype=np.int32) for e in got], _IDS)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "tokens", bos: int | None = None, eos: int | None = None, limit: int | None = None) -> DataFrame:
-    """``docs`` with token ids of a tokenizer file; one call per piece of an Arrow batch.
-
-    Truncation comes after the special ids.
-    """
+    """``docs`` with token ids of a tokenizer file; truncation comes after the special ids."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        head, tail = [bos] if bos is not None else [], [eos] if eos is not None else []
-        parts = []
-        for rows in _text_pieces(texts):
-            got = _tokenizer(path).encode_batch_fast(rows, add_special_tokens=False)
-            parts.append(pa.array([np.array((head + e.ids + tail)[:limit], dtype=np.int32) for e in got], _IDS))
-        return _joined(parts, _IDS)
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return id_arrays(batches, path, bos, eos, limit)
 
     return docs.withColumn(name, ids(F.col(text)))
 

@@ -78,6 +78,19 @@ def test_ids_become_texts_in_one_call(spark, sf_dir):
     assert plan(catalogue.QUERIES["hf_decode_roundtrip"](spark, sf_dir)).count("ArrowEvalPython") == 1
 
 
+def test_ids_leave_the_worker_by_pieces():
+    path, plain = tokenizer()
+    want = [[7, *plain.encode(t or "", add_special_tokens=False).ids, 8][:30_000] for t in LONG.to_pylist()]
+    assert by_pieces(lambda b: tokenise.id_arrays(b, path, 7, 8, 30_000), LONG) == want * 3
+
+
+@pytest.mark.parametrize("name", ["hf_bpe_encode", "hf_decode_roundtrip", "hf_batch_encode", "chunk_aligned_tokens", "chunk_small_tokens"])
+def test_tokenised_by_iterators(spark, sf_dir, name):
+    from pyspark.util import PythonEvalType
+
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in plan(catalogue.QUERIES[name](spark, sf_dir))
+
+
 @pytest.mark.parametrize("kind", ["array<int>", "binary"])
 def test_groups_of_units(spark, kind):
     values = [b"", None, b"abc", b"abcd", b"abcdefghi"]
